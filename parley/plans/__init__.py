@@ -7,7 +7,7 @@ from importlib import import_module
 
 from parley.plans.registry import QUERIES, SQL
 
-MODULES = ("metric_queries", "cluster_queries", "timeline_queries")
+MODULES = ("metric_queries", "cluster_queries", "timeline_queries", "text_queries", "state_queries")
 
 
 def _load() -> None:

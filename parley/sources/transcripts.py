@@ -37,7 +37,8 @@ def parse_asr_json(raw: DataFrame) -> DataFrame:
     Numbers that aren't finite become null; blank texts go before ids are given.
     """
     one = "struct<start:double,end:double,text:string>"
-    parsed = F.coalesce(F.from_json("raw", f"array<{one}>"), F.from_json("raw", f"struct<segments:array<{one}>>")["segments"])
+    listed = F.ltrim("raw").startswith("[")  # an object would be read as an array of one
+    parsed = F.when(listed, F.from_json("raw", f"array<{one}>")).otherwise(F.from_json("raw", f"struct<segments:array<{one}>>")["segments"])
     each = raw.select("rec", F.posexplode(parsed).alias("pos", "s")).select("rec", "pos", "s.start", "s.end", clean_text(F.col("s.text")).alias("text")).filter("text <> ''")
     number = F.row_number().over(Window.partitionBy("rec").orderBy("pos"))
     return each.withColumn("seg_idx", number - 1).withColumn("id", F.format_string("seg_%04d", F.col("seg_idx") + 1)).drop("pos")
