@@ -34,7 +34,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def clamped_cosine(a: Column, b: Column) -> Column:
     """In [-1, 1]; -1 where cosine is null."""
-    return F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(a, b))), F.lit(-1.0))
+    value = cosine(a, b)  # greatest and least leave nulls out
+    return F.when(value.isNull() | (value < -1), F.lit(-1.0)).when(value > 1, F.lit(1.0)).otherwise(value)
 
 
 def rounded(a: Column, digits: int = 6) -> Column:
