@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Only used where spark.checkpoint.dir is unset, as in tests on one machine.
@@ -29,6 +30,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        # Each table is made by one execution, whose shuffle files nobody reads afterwards.
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
         self.root = f"{shared_dir(spark)}/parley-{uuid.uuid4().hex}"
         self.count = 0
         atexit.register(self._delete, self.root)
@@ -46,8 +49,11 @@ class Scratch:
             self._delete(t.scratch_path)
 
     def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        if self.spark.sparkContext._jsc is None or jvm is None:
+        context = self.spark.sparkContext
+        if context._jsc is None or context._jvm is None:
+            return
+        try:
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+        except (OSError, Py4JError):  # the session has ended
             return
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
