@@ -1,9 +1,10 @@
 """Connected components by random contraction, in DataFrame operations only.
 
-A round points every node at the neighbour (or itself) of least random rank, drawn
-anew each round, and replaces edges by the edges between what their ends point at.
-Connection is kept, and in expectation a constant part of the nodes goes, so rounds
-grow with the logarithm of the longest path. Each round's pointers are a written
+A round points every node at the node of least random rank, drawn anew each round,
+within two steps, and replaces edges by the edges between what their ends point at.
+Connection is kept (the node between gives the edge), a star is one round, and in
+expectation a constant part of the nodes goes, so rounds grow with the logarithm of
+the longest path. Each round's pointers are a written
 table; composing them from the last to the first gives every node its component.
 All keys are aggregated before they move, and a hot node's rows are split by the
 adaptive skew join.
@@ -35,7 +36,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         both = live.union(live.select("b", "a"))
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("r"), F.col(c).alias("n"))  # noqa: E731, B023
         best = both.groupBy("a").agg(F.min(rank("b")).alias("best"))
-        point = scratch.save(best.select(F.col("a").alias("node"), F.least("best", rank("a"))["n"].alias("to")), "pointers")
+        near = scratch.save(best.select("a", F.least("best", rank("a")).alias("best")), "nearest")
+        # The least rank within two steps: a hub's neighbours all point at one node.
+        far = both.join(near.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("best").alias("best"))
+        point = scratch.save(far.select(F.col("a").alias("node"), F.col("best.n").alias("to")), "pointers")
         levels.append(point)
         half = live.join(point.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").select("x", "b").distinct()
         whole = half.join(point.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").filter("x <> y")

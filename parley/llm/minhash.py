@@ -8,13 +8,15 @@
    than MATCHES leaves here. Of the rest, ordered by rarity, only the prefix is
    merged that any sufficient agreement must touch; the long lists of common values
    after it are skipped.
-3. In a list, each class meets the list's medoid; this gives as many pairs as
-   postings. After these are verified and joined into components, a second merge
-   compares, in each list, only classes of different components.
-4. Pairs are retained if their full signatures agree in MATCHES places and their
-   full sets have the stated similarity; components over these links follow.
+3. In a list, each class meets the list's medoid: as many pairs as postings. Those
+   whose full signatures agree in MATCHES places and whose full sets have the stated
+   similarity are links, and join classes into components.
+4. Pairs of different components remain. Lists also give a spanning forest of all
+   pairs whose sketches agree, so whatever may link lies in one neighbourhood. Each
+   neighbourhood of several components is compared inside the tasks, in tiles of
+   bounded size; a task returns a forest of the links that it confirmed, never pairs.
 
-The lists are streamed from sorted partitions, in blocks of bounded size.
+Lists and tiles are streamed from sorted partitions; long lists are dealt out.
 
 Defined results: null texts and texts without words have an empty set, link with
 nothing and stay; a text of fewer words than a shingle is one shingle; rows that
@@ -40,13 +42,15 @@ SHINGLE_WORDS = 5
 #: Similarity as a percentage.
 PERCENT = 75
 COORDINATES = 64
-MATCHES = 32
+MATCHES = 34
 #: Equal bits of two sketches (a bit for each coordinate): 56 expected at the threshold, standard deviation 2.6; 32 by chance.
-SKETCH_BITS = 42
+SKETCH_BITS = 46
 #: Rows of a list that meet each other at a time.
 BLOCK = 2048
 #: Rows of a list that one task holds (40 bytes each); longer lists are dealt out in slices, and slices meet in pairs.
 SLICE = 50_000
+#: Classes of a tile, with their texts.
+TILE = 1024
 _SEED = 20_250_101
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -181,62 +185,57 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield held
 
 
-def _pairs_out(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
-
-
-def _emit(pairs: Iterator[tuple[np.ndarray, np.ndarray]], at_once: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    held, n = [], 0
-    for p in pairs:
-        if len(p[0]):
-            held.append(p)
-            n += len(p[0])
-        if n >= at_once:
-            yield _pairs_out(held)
-            held, n = [], 0
-    if held:
-        yield _pairs_out(held)
-
-
-def _with_medoid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each list's classes with the one whose sketch is nearest to the bitwise majority."""
-
-    def pairs():
-        for _, ids, sketch in _lists(batches):
-            if len(ids) > 1:
-                votes = np.zeros(64, dtype=np.int64)
-                for at in range(0, len(ids), BLOCK):
-                    votes += np.unpackbits(sketch[at : at + BLOCK].astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                major = np.packbits(votes * 2 > len(ids), bitorder="little").view("<i8")[0]
-                mid = np.lexsort((ids, -_equal_bits(sketch, major)))[0]
-                ok = (_equal_bits(sketch, sketch[mid]) >= SKETCH_BITS) & (ids != ids[mid])
-                yield np.full(ok.sum(), ids[mid]), ids[ok]
-
-    yield from _emit(pairs())
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each list's pairs of classes of different components."""
-
-    def pairs():
-        for _, ids, sketch, part, part_slice in _lists(batches):
-            order = np.argsort(part, kind="stable")
-            ids, sketch, part, part_slice = ids[order], sketch[order], part[order], part_slice[order]
-            one = (part_slice == part_slice[0]).all()
-            if len(ids) < 2 or part[0] == part[-1]:
-                continue
-            # Rows are ordered by component, so each row's others are those after its component's end.
-            ends = np.searchsorted(part, part, side="right")
-            for i in range(len(ids)):
-                for at in range(int(ends[i]), len(ids), 64 * BLOCK):
-                    stop = at + 64 * BLOCK
-                    ok = (_equal_bits(sketch[at:stop], sketch[i]) >= SKETCH_BITS) & (one | (part_slice[at:stop] != part_slice[i]))
-                    if ok.any():
-                        yield np.full(ok.sum(), ids[i]), ids[at:stop][ok]
-
-    yield from _emit(pairs())
+def _medoid(ids: np.ndarray, sketch: np.ndarray) -> int:
+    """The place of the class whose sketch is nearest to the bitwise majority."""
+    votes = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(ids), BLOCK):
+        votes += np.unpackbits(sketch[at : at + BLOCK].astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    major = np.packbits(votes * 2 > len(ids), bitorder="little").view("<i8")[0]
+    return int(np.lexsort((ids, -_equal_bits(sketch, major)))[0])
+
+
+def _forest(ids: np.ndarray, sketch: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges that connect what pairs of agreeing sketches connect, at most one less than the classes."""
+    a: list[int] = []
+    b: list[int] = []
+    left = np.arange(len(ids))
+    while len(left):
+        stack, left = [int(left[0])], left[1:]
+        while stack and len(left):
+            at = stack.pop()
+            ok = _equal_bits(sketch[left], sketch[at]) >= SKETCH_BITS
+            found = left[ok].tolist()
+            a += [int(ids[at])] * len(found)
+            b += ids[found].tolist()
+            stack += found
+            left = left[~ok]
+    return a, b
+
+
+def _merge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, star: of each list the pairs with its medoid (star), and a forest of its agreeing sketches."""
+
+    def out(rows: tuple[list, list, list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.bool_())], ["a", "b", "star"])
+
+    held: tuple[list, list, list] = ([], [], [])
+    for _, ids, sketch, own in _lists(batches):
+        if len(ids) < 2:
+            continue
+        pairs = [(*_forest(ids, sketch), False)]
+        if own.all():  # not the meeting of two slices
+            mid = _medoid(ids, sketch)
+            near = ids[(_equal_bits(sketch, sketch[mid]) >= SKETCH_BITS) & (ids != ids[mid])].tolist()
+            pairs.append(([int(ids[mid])] * len(near), near, True))
+        for a, b, star in pairs:
+            held[0].extend(map(min, a, b))
+            held[1].extend(map(max, a, b))
+            held[2].extend([star] * len(a))
+        if len(held[0]) >= 1 << 16:
+            yield out(held)
+            held = ([], [], [])
+    if held[0]:
+        yield out(held)
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -272,25 +271,109 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _neighbourhoods(classes: DataFrame, texts: DataFrame, near: DataFrame, part: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between different components, from comparing neighbourhoods (node, component: near) tile by tile.
+
+    A component of more than TILE classes has tiles of its own, which never meet each
+    other; the small ones of a neighbourhood share tiles.
+    """
+    size = near.select(F.col("node").alias("id"), F.col("component").alias("place")).join(part.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "place", F.coalesce("component", "id").alias("part"))
+    size = scratch.save(size, "places")
+    parts = size.groupBy("place", "part").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("place").agg(F.count("*").alias("parts"), F.sum(F.when(F.col("n") <= TILE, F.col("n")).otherwise(0)).alias("small")).filter("parts > 1")
+    deal = lambda what, rows: F.pmod(F.xxhash64(what), F.ceil(rows / TILE))
+    large = F.col("n") > TILE
+    dealt = size.join(parts, ["place", "part"]).join(mixed, "place").select(
+        "place", "id", "part", F.when(large, F.xxhash64("part", deal("id", F.col("n")))).otherwise(F.xxhash64(F.lit("small"), deal("part", F.col("small")))).alias("tile"), F.when(large, F.col("part")).alias("whole"))
+    dealt = scratch.save(dealt, "tiles")
+    tiles = dealt.select("place", "tile", "whole").distinct()
+    left, right = tiles.alias("l"), tiles.alias("r")
+    meets = left.join(right, (F.col("l.place") == F.col("r.place")) & (F.col("l.tile") <= F.col("r.tile")) & ~F.coalesce(F.col("l.whole") == F.col("r.whole"), F.lit(False)))
+    meets = scratch.save(meets.select(F.xxhash64("l.place", "l.tile", "r.tile").alias("meet"), F.col("l.place").alias("place"), F.array_distinct(F.array("l.tile", "r.tile")).alias("sides")), "meets")
+    sides = meets.select("meet", "place", F.posexplode("sides").alias("side", "tile"))
+    rows = dealt.join(sides, ["place", "tile"]).join(classes.select("id", "sig"), "id").join(texts, "id").select("meet", "side", "id", "part", "sig", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler()
+        for group in _groups(batches):
+            a, b = _confirm(group, shingles)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.repartition("meet").sortWithinPartitions("meet").mapInArrow(run, "a long, b long")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each value of the first column, by which batches are sorted."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)] if len(keys) else []
+        for a, b in zip(edges, edges[1:], strict=False):
+            if held and keys[a] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = keys[a]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _confirm(group: pa.Table, shingles: Shingler) -> tuple[list[int], list[int]]:
+    """A forest of the links between different components in a tile, or across two."""
+    side, ids, part = (group.column(k).to_numpy() for k in (1, 2, 3))
+    sig = np.frombuffer(b"".join(group.column(4).to_pylist()), dtype="<u4").reshape(-1, COORDINATES)
+    texts, sets = group.column(5), {}
+    names, root = np.unique(part, return_inverse=True)
+    two = side.max() > 0
+    out: tuple[list[int], list[int]] = ([], [])
+
+    def of(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingles(texts[i].as_py())
+        return sets[i]
+
+    for i in range(len(ids)):
+        if two and side[i] == 1:
+            continue
+        ok = (root != root[i]) & (side == 1 if two else np.arange(len(ids)) > i)
+        others = np.flatnonzero(ok)
+        agree = (sig[others] == sig[i]).sum(axis=1)
+        near = agree >= MATCHES
+        others, agree = others[near], agree[near]
+        for j in others[np.argsort(-agree, kind="stable")].tolist():
+            if root[i] == root[j]:
+                continue
+            s, t = of(i), of(j)
+            if 100 * min(len(s), len(t)) < PERCENT * max(len(s), len(t)):
+                continue
+            both = len(np.intersect1d(s, t, assume_unique=True))
+            if 100 * both >= PERCENT * (len(s) + len(t) - both):
+                root[root == root[j]] = root[i]
+                out[0].append(int(ids[i]))
+                out[1].append(int(ids[j]))
+    return out
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs; doc_id is an integer."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch.save(signatures(docs), "signed")
-    classes = scratch.save(signed.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
-    # A doc_id that repeats with another text may name two classes; each class needs an id of its own.
-    classes = scratch.save(classes.select(F.xxhash64("key").alias("id"), "key", "first", "n", "sig"), "named")
+    classes = signed.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    # A doc_id that repeats with another text may name two classes; each class has an id of its own.
+    classes = scratch.save(classes.select(F.xxhash64("key").alias("id"), "key", "first", "n", "sig"), "classes")
     postings = scratch.save(_prefixes(_postings(classes)), "postings")
     texts = _texts_of(docs, classes, postings, scratch)
-    sliced = postings.select(F.xxhash64("token", _slice()).alias("list"), "id", "sketch")
-    first = scratch.save(sliced.repartition("list").sortWithinPartitions("list").mapInArrow(_with_medoid, "a long, b long").distinct(), "medoids")
-    links = scratch.save(_confirmed(_agreeing(first, classes), texts), "links")
+    sliced = postings.select("token", "id", "sketch", _slice().alias("slice"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other"))
+    sliced = sliced.select(F.xxhash64("token", F.least("slice", "other"), F.greatest("slice", "other")).alias("list"), "id", "sketch", (F.col("slice") == F.col("other")).alias("own"))
+    merged = sliced.repartition("list").sortWithinPartitions("list").mapInArrow(_merge_lists, "a long, b long, star boolean")
+    merged = scratch.save(merged.distinct(), "merged")
+    links = scratch.save(_confirmed(_agreeing(merged.filter("star").select("a", "b"), classes), texts), "links")
     part = components(links, scratch)
-    placed = postings.join(part.select(F.col("node").alias("id"), "component"), "id", "left").select("token", "id", "sketch", F.coalesce("component", "id").alias("part"), _slice().alias("slice"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other"))
-    placed = placed.select(F.xxhash64("token", F.least("slice", "other"), F.greatest("slice", "other")).alias("list"), "id", "sketch", "part", "slice")
-    rest = placed.repartition("list").sortWithinPartitions("list").mapInArrow(_across, "a long, b long").distinct()
-    rest = scratch.save(rest.join(first, ["a", "b"], "left_anti"), "across")
-    more = scratch.save(_confirmed(_agreeing(rest, classes), texts), "links")
+    more = _neighbourhoods(classes, texts, components(merged, scratch), part, scratch)
+    more = scratch.save(more, "more")
     whole = components(links.union(more), scratch)
     named = classes.select("id", "key", "first").join(whole.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "first", F.coalesce("component", "id").alias("group"))
     if signed.groupBy("doc_id").count().filter("count > 1").isEmpty():
