@@ -125,19 +125,36 @@ def shard_documents(docs: DataFrame, shards: int = 8, tolerance: float = TOLERAN
     edges = [0, *(k.number() for k in cuts), 1 << 128]
     inner = [Key.of(min(a + (b - a) * k // RANGES, (1 << 128) - 1)) for a, b in zip(edges, edges[1:], strict=False) for k in range(1, RANGES)]
     shard = _rank(cuts)
-    part = F.struct(shard.alias("shard"), _rank(sorted(inner, key=Key.number)).alias("range"))
-    first = {}
-    n: dict[int, int] = {}
-    counted = sorted(narrow.groupBy(part.alias("part")).count().collect(), key=lambda r: r["part"])
-    for r in counted:
-        first[tuple(r["part"])] = n.get(r["part"]["shard"], 0)
-        n[r["part"]["shard"]] = first[tuple(r["part"])] + r["count"]
-    base = F.lit(0)
-    if first:
-        base = F.element_at(F.create_map(*(F.lit(x) for (s, g), v in first.items() for x in (s * len(edges) * RANGES + g, v))), F.col("__part.shard") * len(edges) * RANGES + F.col("__part.range"))
-    order = Window.partitionBy("__part").orderBy("__hash", "__id")
-    out = keyed.withColumn("__part", part).withColumn("__row", F.row_number().over(order) - 1)
-    return out.withColumns({"size": F.col("__size"), "shard": F.col("__part.shard").cast("int"), "slot": (base + F.col("__row")).cast("long")}).drop("__size", "__hash", "__id", "__part", "__row")
+    ranges = narrow.withColumns({"__shard": shard, "__range": _rank(sorted(inner, key=Key.number))})
+    # A range of a hot text has more rows than others: it is dealt out by doc_id, in parts of at most the mean.
+    counted = ranges.groupBy("__shard", "__range").count().collect()
+    mean = max(1, sum(r["count"] for r in counted) // (shards * RANGES))
+    parts = {(r["__shard"], r["__range"]): -(-r["count"] // (2 * mean)) for r in counted}
+    wide = {k: n for k, n in parts.items() if n > 1}
+    number = F.col("__shard") * len(edges) * RANGES + F.col("__range")
+
+    def looked_up(table: dict[tuple[int, int], int], otherwise: int) -> Column:
+        if not table:
+            return F.lit(otherwise)
+        pairs = [F.lit(x) for (s, g), v in table.items() for x in (s * len(edges) * RANGES + g, v)]
+        return F.coalesce(F.try_element_at(F.create_map(*pairs), number), F.lit(otherwise))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        placed = df.withColumns({"__shard": shard, "__range": _rank(sorted(inner, key=Key.number))})
+        return placed.withColumn("__deal", F.pmod(F.xxhash64("__id"), looked_up(wide, 1).cast("long")).cast("int"))
+
+    # The first number of each part: its shard's rows before it.
+    sizes = sorted(tuple(r) for r in dealt(narrow).groupBy("__shard", "__range", "__deal").count().collect())
+    rows, n = [], dict.fromkeys(range(shards), 0)
+    for s, g, d, count in sizes:
+        rows.append((s, g, d, n[s]))
+        n[s] += count
+    first = docs.sparkSession.createDataFrame(rows, "__shard int, __range int, __deal int, __first long")
+    # At most (shards x RANGES x 2) rows, whatever the data.
+    part = ["__shard", "__range", "__deal"]
+    numbered = dealt(keyed).withColumn("__row", F.row_number().over(Window.partitionBy(*part).orderBy("__hash", "__id")) - 1)
+    out = numbered.join(F.broadcast(first), part)
+    return out.withColumns({"size": F.col("__size"), "shard": F.col("__shard").cast("int"), "slot": F.col("__first") + F.col("__row")}).drop("__size", "__hash", "__id", "__row", "__first", *part)
 
 
 def digests(docs: DataFrame, shards: int = 8) -> DataFrame:
