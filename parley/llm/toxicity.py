@@ -26,12 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parley.llm.minhash import Shingler
 from parley.llm.samples import labelled
 
 #: Most labelled documents of each class that the lexicon and the score are fitted on.
 PER_CLASS = 3000
-#: A stem is learned at this likelihood ratio statistic and log odds, and has so many letters.
-LEAST_RATIO, LEAST_ODDS, STEM = 24.0, 2.5, (4, 10)
+#: A stem is learned at these log odds and has so many letters; its likelihood ratio statistic must exceed what chance
+#: reaches among all that are tried: twice the logarithm of their number, and this.
+LEAST_ODDS, STEM, ABOVE_CHANCE = 2.5, (4, 10), 3.0
 #: Most stems that are learned, by likelihood ratio.
 MOST_STEMS = 5000
 PRIOR_WEIGHT = 2.0
@@ -148,6 +150,15 @@ def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([counts[1][k] for k in keys], pa.int64()), pa.array([counts[0][k] for k in keys], pa.int64())], ["stem", "bad", "good"])
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sample with a MinHash of each text: near copies mostly share it."""
+    shingles = Shingler()
+    for batch in batches:
+        sets = [shingles((t or "").encode()) for t in batch.column(1).to_pylist()]
+        keys = [int(s[0].view(np.int64)) if len(s) else None for s in sets]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], ["doc_id", "text", "label", "key"])
+
+
 def _likelihood(bad: float, good: float, all_bad: int, all_good: int) -> float:
     """The G statistic of a 2 x 2 table."""
     total, seen = all_bad + all_good, bad + good
@@ -157,7 +168,8 @@ def _likelihood(bad: float, good: float, all_bad: int, all_good: int) -> float:
 
 def _stems(counted: dict[str, tuple[int, int]], all_bad: int, all_good: int) -> dict[str, float]:
     odds = lambda b, g: math.log((b + 0.5) / (all_bad + 1)) - math.log((g + 0.5) / (all_good + 1))
-    strong = {s for s, (b, g) in counted.items() if odds(b, g) >= LEAST_ODDS and _likelihood(b, g, all_bad, all_good) >= LEAST_RATIO}
+    least = 2 * math.log(max(2, len(counted))) + ABOVE_CHANCE
+    strong = {s for s, (b, g) in counted.items() if odds(b, g) >= LEAST_ODDS and _likelihood(b, g, all_bad, all_good) >= least}
     out = {}
     for stem in sorted(strong, key=len):
         if any(stem[:n] in strong for n in range(STEM[0], len(stem))):
@@ -172,6 +184,9 @@ def _stems(counted: dict[str, tuple[int, int]], all_bad: int, all_good: int) ->
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, column: str = "toxic", per_class: int = PER_CLASS) -> Lexicon:
     """Learn weights and score from at most per_class labelled documents of each class."""
     sample = labelled(docs, labels, column, allowed, per_class)
+    # Copies of a toxic text would make all its rare words look toxic.
+    keyed = T.StructType([*sample.schema, T.StructField("key", T.LongType())])
+    sample = sample.mapInArrow(_keyed, keyed).dropDuplicates(["label", "key"]).select("doc_id", "text", "label")
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     weights = {folded(w): PRIOR_WEIGHT for w in KNOWN}
     all_bad, all_good = sizes.get(1, 0), sizes.get(0, 0)
