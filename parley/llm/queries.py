@@ -89,3 +89,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_toxicity, op2_quality, op3_decontam, op4_url_filter, op5_secrets, op6_embedding_dedup, op7_minhash, op8_sharding, op9_packing, op10_line_dedup)
     return {f.__name__: f for f in own}
+
+
+def oracle_sql() -> dict[str, str]:
+    from parley.llm import sql
+
+    return {"op3_decontam": sql.DECONTAM, "op4_url_filter": sql.url_filter(URL_LIST, CAPTURE_DAYS), "op6_embedding_dedup": sql.EMBEDDING, "op7_minhash": sql.MINHASH}
