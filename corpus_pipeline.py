@@ -8,6 +8,7 @@ again before the next one starts.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parley.llm import decontam, linededup, minhash, packing, quality
 from parley.llm.queries import tokenizer_path
@@ -21,7 +22,7 @@ ORACLE_SQL = None
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from the labelled rows that op2 may learn from; rejected documents go."""
-    network = quality.fit(docs, table(spark, sf_dir, "labels"), fold_of(docs["doc_id"], 3) != 1)
+    network = quality.fit(docs, table(spark, sf_dir, "labels"), fold_of(F.col("doc_id"), 3) != 1)
     return quality.accepted(docs, network)
 
 
