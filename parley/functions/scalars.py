@@ -26,7 +26,7 @@ def valid_person_name(value: Column) -> Column:
 
 def clean_text(value: Column) -> Column:
     """Without <|tags|>, each run of white space as one space, trimmed."""
-    squeezed = F.regexp_replace(F.regexp_replace(value, r"<\|[^|]*\|>", ""), r"(?U)\s+", " ")
+    squeezed = F.regexp_replace(F.regexp_replace(value, r"<\|[^>]+\|>", ""), r"(?U)\s+", " ")
     return F.regexp_replace(squeezed, "^ | $", "")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Host endings that downloads may come from.
-ALLOWED_HOSTS = ("github.com", "githubusercontent.com", "huggingface.co", "hf-mirror.com", "modelscope.cn")
+ALLOWED_HOSTS = ("github.com", "raw.githubusercontent.com", "githubusercontent.com", "huggingface.co", "hf.co", "huggingfaceusercontent.com", "modelscope.cn", "modelscope.com")
 
 
 def portable_name(name: Column) -> Column:

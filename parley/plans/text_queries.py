@@ -14,17 +14,17 @@ from parley.sources import transcripts
 
 _S = f"WITH {SEGMENTS}"
 #: Clean text in DuckDB; its white space class is ASCII, as the fixtures' is.
-_CLEAN = r"trim(regexp_replace(regexp_replace({0}, '<\|[^|]*\|>', '', 'g'), '\s+', ' ', 'g'))"
+_CLEAN = r"trim(regexp_replace(regexp_replace({0}, '<\|[^>]+\|>', '', 'g'), '\s+', ' ', 'g'))"
 _RAW = rf"""raw AS (SELECT rec, id, seg_idx, start_ms, end_ms, '<|en|><|NEUTRAL|>' || replace(text, chr(10), ' ') AS t FROM seg WHERE text IS NOT NULL)"""
 
 
 def raw_output(spark, sf_dir):
     """One recogniser output a recording: a log line, then timed lines, or for odd recordings plain ones."""
     text = F.concat(F.lit("<|en|><|NEUTRAL|>"), F.replace("text", F.lit("\n"), F.lit(" ")))
-    timed = F.format_string("[%d.%03d - %d.%03d] %s", F.floor(F.col("start_ms") / 1000), F.col("start_ms") % 1000, F.floor(F.col("end_ms") / 1000), F.col("end_ms") % 1000, text)
+    timed = F.format_string("[%d.%03d-%d.%03d] %s", F.floor(F.col("start_ms") / 1000), F.col("start_ms") % 1000, F.floor(F.col("end_ms") / 1000), F.col("end_ms") % 1000, text)
     line = F.when(F.col("rec") % 2 == 0, timed).otherwise(text)
     rows = segments(spark, sf_dir).filter("text is not null").groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("seg_idx", line.alias("l")))).alias("ls"))
-    return rows.select("rec", F.concat(F.lit("INFO loading model\n"), F.array_join(F.transform("ls", lambda x: x["l"]), "\n")).alias("raw"))
+    return rows.select("rec", F.concat(F.lit("main: loading model\n"), F.array_join(F.transform("ls", lambda x: x["l"]), "\n")).alias("raw"))
 
 
 @query("parse_asr_lines", f"""{_S}, {_RAW}, e AS (SELECT rec, start_ms / 1000.0 AS s, end_ms / 1000.0 AS e, {_CLEAN.format('t')} AS text, row_number() OVER (PARTITION BY rec ORDER BY seg_idx) - 1 AS k FROM raw WHERE rec % 2 = 0 AND {_CLEAN.format('t')} <> '')

@@ -8,9 +8,9 @@ from pyspark.sql.window import Window
 
 from parley.functions.scalars import clean_text
 
-#: Beginnings of log lines that are no transcript.
-LOG_LINE = r"^(\d{4}-\d\d-\d\d|\[?(?:INFO|WARN|WARNING|ERROR|DEBUG)\b|main:|system_info:|funasr|sense_?voice[\w]*:)"
-TIMED_LINE = r"^\[\s*([0-9]+(?:\.[0-9]+)?)\s*-\s*([0-9]+(?:\.[0-9]+)?)\s*\]\s*(.*)$"
+#: Beginnings of log lines that are no transcript, and the form of timed lines.
+LOG_LINE = r"^(\$\$|main:|system_info:|sense_voice_|ggml_)"
+TIMED_LINE = r"^\[([0-9]+(?:\.[0-9]+)?)-([0-9]+(?:\.[0-9]+)?)\]\s*(.*)$"
 
 
 def parse_asr_lines(raw: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def parse_asr_lines(raw: DataFrame) -> DataFrame:
     timed = each.filter(F.col("line").rlike(TIMED_LINE)).select("rec", "pos", *(F.regexp_extract("line", TIMED_LINE, k).alias(n) for k, n in ((1, "start"), (2, "end"), (3, "text"))))
     timed = timed.select("rec", "pos", F.col("start").try_cast("double").alias("start"), F.col("end").try_cast("double").alias("end"), clean_text(F.col("text")).alias("text")).filter("text <> ''")
     rows = timed.withColumn("seg_idx", F.row_number().over(Window.partitionBy("rec").orderBy("pos")) - 1)
-    plain = each.filter(~F.col("line").rlike(TIMED_LINE) & ~F.col("line").rlike(LOG_LINE)).select("rec", "pos", clean_text(F.col("line")).alias("text")).filter("text <> ''")
+    plain = each.filter(~F.col("line").rlike(TIMED_LINE)).select("rec", "pos", clean_text(F.col("line")).alias("text")).filter((F.col("text") != "") & ~F.col("text").rlike(LOG_LINE))
     untimed = plain.join(timed.select("rec").distinct(), "rec", "left_anti").groupBy("rec").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text"))
     none = F.lit(None).cast("double")
     both = rows.select("rec", "seg_idx", "start", "end", "text").unionByName(untimed.select("rec", F.lit(0).alias("seg_idx"), none.alias("start"), none.alias("end"), "text"))

@@ -77,7 +77,7 @@ def test_assignment_is_best(n, seed):
 
 
 def test_parsers(spark):
-    raw = spark.createDataFrame([(1, "INFO start\r\n[1.12 - 3.42] <|en|>hi  there\n[3.87-6.53] you\nplain"), (2, "hello\n world"), (3, ""), (4, None)], "rec long, raw string")
+    raw = spark.createDataFrame([(1, "main: start\r\n[1.12-3.42] <|en|>hi  there\n[3.87-6.53] you\nplain"), (2, "hello\n world"), (3, ""), (4, None)], "rec long, raw string")
     got = {(r["rec"], r["id"]): (r["start"], r["end"], r["text"]) for r in transcripts.parse_asr_lines(raw).collect()}
     assert got == {(1, "seg_0001"): (1.12, 3.42, "hi there"), (1, "seg_0002"): (3.87, 6.53, "you"), (2, "seg_0001"): (None, None, "hello world")}
     lines = spark.createDataFrame([("# c",), ("",), ("SPEAKER m 1 0.0 1.25 <NA> <NA> alice <NA> <NA>",), ("SPEAKER other 1 0 2 <NA> <NA> carol <NA> <NA>",), ("SPEAKER m 1 1.25 0 <NA> <NA> bob <NA> <NA>",)], "value string")
