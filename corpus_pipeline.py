@@ -30,7 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-equal lines one stays; a document that loses all its lines goes."""
     out = linededup.dedup_lines(docs)
     emptied = "n_dropped > 0 and (text is null or trim(translate(text, '\n\r\t', '   ')) = '')"
-    return out.filter(f"not coalesce({emptied}, false)").drop("n_lines", "n_dropped").select(*docs.columns)
+    kept = out.filter(f"not coalesce({emptied}, false)")
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
