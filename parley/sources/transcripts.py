@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import struct
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -71,43 +75,41 @@ def segment_intake(rows: DataFrame) -> DataFrame:
     return out.withColumns({"start_ms": F.col("__s"), "end_ms": F.col("__e")}).filter("end_ms > start_ms").drop("__s", "__e")
 
 
-def _le(data: Column, at: Column | int, size: int) -> Column:
-    """A little-endian unsigned number at a byte offset."""
-    byte = lambda k: F.conv(F.hex(F.substring(data, (at if isinstance(at, Column) else F.lit(at)) + 1 + k, F.lit(1))), 16, 10).cast("long")
-    total = byte(0)
-    for k in range(1, size):
-        total = total + byte(k) * (1 << (8 * k))
-    return total
-
-
-def wav_info(files: DataFrame, most_chunks: int = 16) -> DataFrame:
-    """path and info of binary files (path, content): channels, sample_rate, bits, data_bytes, seconds, usable.
-
-    The chunk list is walked in expressions: at most ``most_chunks`` chunks before the
-    data, each at an even offset. info is null where the bytes are no PCM WAV file.
-    """
-    data = F.col("content")
-    ascii_at = lambda at: F.substring(data, at + 1, F.lit(4)).cast("string")
-    start = F.struct(F.lit(12).cast("long").alias("at"), F.lit(None).cast("long").alias("fmt"), F.lit(None).cast("long").alias("data"), F.lit(None).cast("long").alias("size"))
-
-    def step(acc: Column, _: Column) -> Column:
-        size = _le(data, acc["at"].cast("int") + 4, 4)
-        name = ascii_at(acc["at"].cast("int"))
-        inside = acc["data"].isNull() & (acc["at"] + 8 <= F.octet_length("content"))
-        moved = F.struct(
-            (acc["at"] + 8 + size + size % 2).alias("at"), F.when(name == "fmt ", acc["at"] + 8).otherwise(acc["fmt"]).alias("fmt"),
-            F.when(name == "data", acc["at"] + 8).otherwise(acc["data"]).alias("data"), F.when(name == "data", size).otherwise(acc["size"]).alias("size"),
-        )
-        return F.when(inside, moved).otherwise(acc)
-
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(most_chunks)), start, step)
-    head = (ascii_at(F.lit(0)) == "RIFF") & (ascii_at(F.lit(8)) == "WAVE")
-    rows = files.withColumn("w", F.when(head, walked))
-    at = F.col("w.fmt").cast("int")
-    info = rows.withColumns({"format": _le(data, at, 2), "channels": _le(data, at + 2, 2), "sample_rate": _le(data, at + 4, 4), "bits": _le(data, at + 14, 2)})
-    rate = F.col("sample_rate") * F.col("channels") * F.col("bits") / 8
-    usable = F.coalesce((F.col("format") == 1) & (F.col("channels") == 1) & (F.col("sample_rate") == 16000) & (F.col("bits") == 16) & F.col("w.data").isNotNull(), F.lit(False))
-    return info.select("path", "channels", "sample_rate", "bits", F.col("w.size").alias("data_bytes"), F.when(rate > 0, F.col("w.size") / rate).alias("seconds"), usable.alias("usable"), F.col("w.data").alias("data_offset"))
+#: Bytes of a file in which its header must lie.
+HEADER_BYTES = 65_536
+
+
+def _header(data: bytes) -> tuple:
+    """channels, sample_rate, bits, data_bytes, seconds, usable, data_offset of a RIFF WAVE file's beginning."""
+    nothing = (None, None, None, None, None, False, None)
+    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+        return nothing
+    at, form = 12, None
+    while at + 8 <= len(data):
+        name, (size,) = data[at : at + 4], struct.unpack_from("<I", data, at + 4)
+        if name == b"fmt " and at + 24 <= len(data):
+            form = struct.unpack_from("<HHIIHH", data, at + 8)
+        elif name == b"data":
+            if form is None:
+                return nothing
+            kind, channels, rate, per_second, _, bits = form
+            seconds = size / per_second if per_second else None
+            return channels, rate, bits, size, seconds, (kind, channels, rate, bits) == (1, 1, 16000, 16), at + 8
+        at += 8 + size + size % 2  # chunks begin at even offsets
+    return nothing
+
+
+def wav_info(files: DataFrame) -> DataFrame:
+    """path and what the header of a binary file (path, content) says; usable: 16 kHz mono 16-bit PCM. Null where it is no WAV file."""
+    names = ["channels", "sample_rate", "bits", "data_bytes", "seconds", "usable", "data_offset"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = pd.DataFrame([_header(bytes(h)) for h in batch["head"]], columns=names, dtype=object)
+            yield pd.concat([batch[["path"]].reset_index(drop=True), rows], axis=1)
+
+    schema = "path string, channels long, sample_rate long, bits long, data_bytes long, seconds double, usable boolean, data_offset long"
+    return files.select("path", F.substring("content", 1, HEADER_BYTES).alias("head")).mapInPandas(run, schema)
 
 
 def read_wav_info(spark: SparkSession, path: str) -> DataFrame:
