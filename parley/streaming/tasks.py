@@ -22,10 +22,11 @@ def requests(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select(F.col("r.id").alias("id"), F.col("r.method").alias("method"), F.col("r.params").alias("params"), error.alias("error"))
 
 
-def task_states(events: DataFrame, timeout: str = "2 hours") -> DataFrame:
+def task_states(events: DataFrame, timeout: str | None = None) -> DataFrame:
     """task_id, status, n_events as they change, from a stream of task_id, seq, status.
 
-    State is one row a task; a task without events for the timeout is forgotten.
+    State is one row a task. With a timeout, a task without events for so long is
+    forgotten; such a stream goes on making batches, so it never ends by itself.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -39,10 +40,11 @@ def task_states(events: DataFrame, timeout: str = "2 hours") -> DataFrame:
             if int(last["seq"]) > seq:
                 status, seq = str(last["status"]), int(last["seq"])
         state.update((status, seq, n))
-        state.setTimeoutDuration(_milliseconds(timeout))
+        if timeout:
+            state.setTimeoutDuration(_milliseconds(timeout))
         yield pd.DataFrame({"task_id": [key[0]], "status": [status], "n_events": [n]})
 
-    return events.select("task_id", "seq", "status").groupBy("task_id").applyInPandasWithState(update, "task_id string, status string, n_events long", "status string, seq long, n long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.select("task_id", "seq", "status").groupBy("task_id").applyInPandasWithState(update, "task_id string, status string, n_events long", "status string, seq long, n long", "update", GroupStateTimeout.ProcessingTimeTimeout if timeout else GroupStateTimeout.NoTimeout)
 
 
 def _milliseconds(text: str) -> int:

@@ -26,6 +26,7 @@ def test_error_rates(spark, ref, hyp, der, parts):
 
 
 def windows(spark, rows):
+    rows = [(seg, key, *map(float, times), label, kind, score) for seg, key, *times, label, kind, score in rows]
     return spark.createDataFrame([(1, *r) for r in rows], "rec long, seg_idx long, key string, start_ms double, end_ms double, seg_start double, seg_end double, label int, stability string, score double")
 
 
