@@ -46,7 +46,8 @@ def voronoi(windows: DataFrame) -> DataFrame:
     declared = F.coalesce(F.col("seg_end") > F.col("seg_start"), F.lit(False))
     each = windows.withColumns({"centre": centre, "__low": F.when(declared, F.col("seg_start")).otherwise(F.col("start_ms")), "__high": F.when(declared, F.col("seg_end")).otherwise(F.col("end_ms"))})
     each = each.withColumns({"low": F.min("__low").over(own), "high": F.max("__high").over(own), "before": F.lag("centre").over(order), "after": F.lead("centre").over(order)})
-    edge = lambda other: F.greatest(F.col("low"), F.least(F.col("high"), (F.col(other) + F.col("centre")) / 2))
+    # Null at the ends: greatest and least would leave a null out.
+    edge = lambda other: F.when(F.col(other).isNotNull(), F.greatest(F.col("low"), F.least(F.col("high"), (F.col(other) + F.col("centre")) / 2)))
     known = (F.col("label") >= 0) & (F.col("stability") != "unknown")
     score = F.when((F.col("label") >= 0) & F.col("score").isNotNull() & ~F.isnan("score"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))).otherwise(F.lit(0.0))
     return each.select(

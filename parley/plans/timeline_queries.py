@@ -22,7 +22,7 @@ w AS (SELECT rec, idx // 13 AS seg_idx, key, start_ms, end_ms, (idx // 13) * 975
  CASE WHEN (rec + truth) % 4 = 0 THEN 'transient' ELSE 'stable' END AS stability, (50 + vec_id % 50)::DOUBLE / 100.0::DOUBLE AS confidence FROM pts),
 v0 AS (SELECT *, (start_ms + end_ms)::DOUBLE / 2.0::DOUBLE AS c FROM w),
 v1 AS (SELECT *, lag(c) OVER s AS b, lead(c) OVER s AS a FROM v0 WINDOW s AS (PARTITION BY rec, seg_idx ORDER BY c, key)),
-vor AS (SELECT rec, seg_idx, key, coalesce(greatest(lo, least(hi, (b + c) / 2)), lo)::DOUBLE AS t0, coalesce(greatest(lo, least(hi, (a + c) / 2)), hi)::DOUBLE AS t1, cluster, stability, confidence FROM v1),
+vor AS (SELECT rec, seg_idx, key, (CASE WHEN b IS NULL THEN lo ELSE greatest(lo, least(hi, (b + c) / 2)) END)::DOUBLE AS t0, (CASE WHEN a IS NULL THEN hi ELSE greatest(lo, least(hi, (a + c) / 2)) END)::DOUBLE AS t1, cluster, stability, confidence FROM v1),
 r0 AS (SELECT *, CASE WHEN lag(cluster) OVER s = cluster AND lag(stability) OVER s = stability AND lag(t1) OVER s = t0 THEN 0 ELSE 1 END AS n FROM vor WHERE t1 > t0 WINDOW s AS (PARTITION BY rec, seg_idx ORDER BY t0, t1, key)),
 r1 AS (SELECT *, sum(n) OVER (PARTITION BY rec, seg_idx ORDER BY t0, t1, key) AS run FROM r0),
 runs AS (SELECT rec, seg_idx, cluster, stability, min(key) AS key, min(t0) AS t0, max(t1) AS t1, sum(confidence * (t1 - t0)) / sum(t1 - t0) AS confidence FROM r1 GROUP BY rec, seg_idx, run, cluster, stability),
