@@ -125,6 +125,50 @@ def test_line_dedup(spark, docs, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def near_lines(lines):
+    """The components of equal or near lines, by brute force."""
+    sets = {x: {x[k : k + linededup.SHINGLE] for k in range(len(x) - linededup.SHINGLE + 1)} for x in set(lines)}
+    root = {x: x for x in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in sets:
+        for y in sets:
+            if x < y and len(sets[x] & sets[y]) >= linededup.THRESHOLD * len(sets[x] | sets[y]):
+                root[find(x)] = find(y)
+    return {x: find(x) for x in sets}
+
+
+def stays(lines):
+    part, seen = near_lines(lines), set()
+    return [part[x] not in seen and not seen.add(part[x]) for x in lines]
+
+
+def lines_kept(spark, lines):
+    rows = linededup.dedup_lines(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], SCHEMA)).collect()
+    return [r["n_dropped"] == 0 for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def test_line_dedup_short_and_unbroken(spark):
+    r = random.Random(11)
+    kanji = [chr(0x4E00 + k) for k in range(600)]
+    made = []
+    for k in range(40):
+        made.append(" ".join(r.choice(WORDS) + str(r.randrange(100, 999)) for _ in range(2 + k % 4)) + " number 7")
+        made.append("".join(r.choices(kanji, k=20 + k)))
+        made.append("https://example.org/" + "".join(r.choices("abcdefghij", k=20 + k)))
+        made.append("\t".join(r.choice(WORDS) + str(r.randrange(100, 999)) for _ in range(4 + k % 20)))
+        made.append(" ".join(r.choice(WORDS) + str(r.randrange(100, 999)) for _ in range(8 + k % 16)))
+    made = [x for x in made if len(x) >= 16]  # one changed end of shorter lines is no near copy
+    lines = made + [x[:-1] + "Z" for x in made] + ["Z" + x[1:] for x in made]
+    want = stays(lines)
+    assert sum(not x for x in want) > len(made)
+    assert lines_kept(spark, lines) == want
+
+
 def test_sharding(docs, empty, spark):
     many = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("hot text")).otherwise(F.repeat(F.col("id").cast("string"), (F.col("id") % 9).cast("int"))).alias("text"))
     rows = sharding.digests(many).collect()
