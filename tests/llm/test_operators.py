@@ -169,6 +169,18 @@ def test_line_dedup_short_and_unbroken(spark):
     assert lines_kept(spark, lines) == want
 
 
+def test_line_dedup_common_passage(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "TILE", 16)
+    r = random.Random(12)
+    word = lambda: r.choice(WORDS) + r.choice(WORDS)
+    head = " ".join(word() for _ in range(50))
+    lines = [f"{head} " + " ".join(word() + str(r.randrange(100, 999)) for _ in range(r.randrange(25, 50))) for _ in range(150)]
+    lines += [x.rsplit(" ", 1)[0] + f" {word()}" for x in lines[:100]]
+    want = stays(lines)
+    assert 90 < sum(not x for x in want) < 150
+    assert lines_kept(spark, lines) == want
+
+
 def test_sharding(docs, empty, spark):
     many = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("hot text")).otherwise(F.repeat(F.col("id").cast("string"), (F.col("id") % 9).cast("int"))).alias("text"))
     rows = sharding.digests(many).collect()
