@@ -3,16 +3,19 @@
 A list is a log of dated entries: a pattern of a kind (host, domain or prefix) is
 added or removed from a category at a time. The log becomes validity intervals
 [from, until), by each pattern's next entry. Every capture offers its host, the
-domains above it and its path prefixes as keys; an equi-join on (kind, pattern)
+domains above it and all its path prefixes as keys; an equi-join on (kind, pattern)
 meets the intervals and the as-of condition keeps those in force at fetch time.
 
 The list side is folded to one row a pattern, so a capture's key meets one row at
 most. Spark broadcasts it while its measured size is under its threshold; beyond,
 the join shuffles and a hot host's rows are split by the adaptive skew join.
 
-Defined results: a null or unparsable URL has no host and matches nothing; a null
-fetch time likewise; entries at the same time count as a removal if any of them
-is; repeated rows get a row each; an empty list blocks nothing.
+Defined results: patterns are lower-case, without a leading www., as hosts are; a
+prefix matches whole path segments at any depth, that of a bare host all its pages;
+empty segments don't count; a domain matches itself and the hosts below it, but one
+of a single label no host below it; a null or unparsable URL has no host and matches
+nothing; a null fetch time likewise; entries at the same time count as a removal if
+any of them is; repeated rows get a row each; an empty list blocks nothing.
 """
 
 from __future__ import annotations
@@ -21,13 +24,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Path depth up to which prefixes are offered as keys.
-DEPTH = 3
+
+def _pattern(kind: Column, pattern: Column) -> Column:
+    """The pattern in the form that captures' keys have."""
+    bare = F.regexp_replace(F.lower(pattern), r"^www\.", "")
+    return F.when(kind == "prefix", F.regexp_replace(F.regexp_replace(bare, "/+", "/"), "/$", "")).otherwise(bare)
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """kind, pattern, category, from, until (null: still in force) from kind, pattern, category, action, at."""
-    events = entries.dropna(subset=["kind", "pattern", "category", "action", "at"]).groupBy("kind", F.lower("pattern").alias("pattern"), "category", "at").agg(F.max(F.col("action") == "remove").alias("gone"))
+    events = entries.dropna(subset=["kind", "pattern", "category", "action", "at"]).groupBy("kind", _pattern(F.col("kind"), F.col("pattern")).alias("pattern"), "category", "at").agg(F.max(F.col("action") == "remove").alias("gone"))
     w = Window.partitionBy("kind", "pattern", "category").orderBy("at")
     return events.select("kind", "pattern", "category", F.col("at").alias("from"), F.lead("at").over(w).alias("until"), "gone").filter(~F.col("gone")).drop("gone")
 
@@ -49,8 +55,8 @@ def keys_of(url: Column) -> Column:
     count = F.size(labels)
     domains = F.transform(F.sequence(F.lit(1), F.greatest(count - 1, F.lit(1))), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, count), ".").alias("pattern")))
     steps = F.filter(F.split(path_of(url), "/"), lambda s: s != "")
-    depth = F.least(F.size(steps), F.lit(DEPTH))
-    prefixes = F.when(depth > 0, F.transform(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.lit("/"), F.array_join(F.slice(steps, F.lit(1), i), "/")).alias("pattern"))))
+    parts = F.concat(F.array(host), steps)
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.lit("prefix").alias("kind"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("pattern")))
     none = F.array().cast("array<struct<kind:string,pattern:string>>")
     return F.when(host.isNotNull(), F.concat(F.array(F.struct(F.lit("host").alias("kind"), host.alias("pattern"))), domains, F.coalesce(prefixes, none))).otherwise(none)
 

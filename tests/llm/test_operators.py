@@ -210,6 +210,15 @@ def test_url_filter(spark):
     assert urlfilter.active_entries(captures, entries.filter("false")).filter("size(matches) > 0").count() == 0
 
 
+def test_url_filter_deep_and_www(spark):
+    log = [("prefix", "deep.org/a/b/c/d", "x"), ("prefix", "WWW.deep.org/a/b/c/d/e/", "y"), ("host", "www.other.net", "z"), ("domain", "www.third.net", "w"), ("prefix", "four.org//q", "v"), ("prefix", "bare.org", "u")]
+    entries = spark.createDataFrame([(*r, "add", "2024-01-01") for r in log], "kind string, pattern string, category string, action string, at string").withColumn("at", F.col("at").cast("date"))
+    seen = [(1, "http://deep.org/a/b/c/d/e/f/g"), (2, "http://deep.org/a/b/c/dd"), (3, "http://www.other.net/"), (4, "http://other.net/p"), (5, "http://sub.third.net/"), (6, "http://four.org/q/r"), (7, "http://deep.org/a/b//c/d"), (8, "http://bare.org/p"), (9, "http://bare.org")]
+    captures = spark.createDataFrame(seen, "k int, url string").withColumn("fetched_at", F.lit("2024-02-01").cast("date"))
+    got = {r["k"]: "".join(sorted(m["category"] for m in r["matches"])) for r in urlfilter.active_entries(captures, entries).collect()}
+    assert got == {1: "xy", 2: "", 3: "z", 4: "z", 5: "w", 6: "v", 7: "x", 8: "u", 9: "u"}
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(60, 16))
