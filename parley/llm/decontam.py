@@ -110,19 +110,24 @@ class Shard:
             numbers.append(live[some][which[ok]])
         return (np.concatenate(starts), np.concatenate(numbers)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-    def near(self, p: Phrases, least: int, slop: int) -> list[tuple[int, str]]:
-        """Documents where an item's ``least`` rarest terms all lie within ``slop`` words of one of the rarest."""
+    def near(self, p: Phrases, least: int, slop: int, often: np.ndarray) -> list[tuple[int, str]]:
+        """Documents where an item's ``least`` rarest terms all lie within ``slop`` words of one of the rarest.
+
+        often has each term's count in all documents; terms that occur nowhere are passed over.
+        """
         out = []
         for item, terms in p.items.items():
             terms = np.array(terms)
-            rare = terms[np.argsort(self.counts[terms], kind="stable")][:least]
+            terms = terms[often[terms] > 0]
+            rare = terms[np.argsort(often[terms], kind="stable")][:least]
             if len(rare) < least or not self.counts[rare].all():
                 continue
             at, _ = self._lists(rare[:1])
             doc = self.document(at)
             for t in rare[1:]:
                 other, _ = self._lists(np.array([t]))
-                k = np.searchsorted(other, at - slop)
+                # A posting of the document before is not looked at.
+                k = np.searchsorted(other, np.maximum(at - slop, self.ends[doc] - self.sizes[doc]))
                 hit = other[np.minimum(k, len(other) - 1)]
                 ok = (hit >= at - slop) & (hit <= at + slop) & (self.document(hit) == doc)
                 at, doc = at[ok], doc[ok]
@@ -146,12 +151,32 @@ def _digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
+def _often(rows: DataFrame, sent, size: int) -> np.ndarray:
+    """How often each term of a block occurs in all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = Phrases(sent.value, size)
+        counts = np.zeros(len(p.terms) + 1, dtype=np.int64)
+        for batch in batches:
+            for from_row in range(0, batch.num_rows, 2048):
+                counts += Shard(batch.slice(from_row, 2048).column(2).to_pylist(), p.terms).counts
+        found = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["term", "n"])
+
+    found = rows.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    out = np.zeros(len(Phrases(sent.value, size).terms) + 1, dtype=np.int64)
+    for term, n in found.toLocalIterator():
+        out[term] = n
+    return out
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, divisor: int = 20, proximity: tuple[int, int] | None = None) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, runs, items for each document row.
 
     runs are the hit word ranges as (start, end) pairs, items the ids whose windows
     occur. With proximity=(terms, slop), near_items also lists the items of which
-    that many of the rarest terms stand within slop words of each other.
+    that many of the rarest terms stand within slop words of one of the rarest; how
+    rare a term is, is counted over all documents first.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType
@@ -159,6 +184,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, div
     rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
 
     def scan(sent) -> DataFrame:
+        often = spark.sparkContext.broadcast(_often(rows, sent, size)) if proximity else None
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p = Phrases(sent.value, size)
             for batch in batches:
@@ -181,7 +208,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, div
                     for d, k in set(zip(owner.tolist(), number.tolist(), strict=True)):
                         items[d].update(p.owners[k])
                     if proximity:
-                        for d, item in shard.near(p, *proximity):
+                        for d, item in shard.near(p, *proximity, often.value):
                             near[d].add(item)
                     yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(shard.sizes), pa.array(runs, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array([sorted(x) for x in near], pa.list_(pa.string()))], own.names)
 

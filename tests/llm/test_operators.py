@@ -96,6 +96,17 @@ def test_decontamination(spark, docs, empty):
     assert near == 2
 
 
+def test_proximity(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
+    # The reworded term is in no slice or in another one; a posting at the end of the document before is nearer than slop.
+    rows = [(1, "x alpha"), (2, "beta gamma alpha x")]
+    near = lambda rows: {r["doc_id"] for r in decontam.contamination(spark.createDataFrame(rows, SCHEMA).coalesce(1), bench, proximity=(3, 5)).collect() if r["near_items"]}
+    assert near(rows[:2]) == {2}
+    common = [(10 + k, "delta") for k in range(4000)]
+    assert near(common + rows[:2]) == {2}
+    assert near([(1, "z z alpha"), (2, "beta gamma alpha")]) == {2}
+
+
 def test_decontamination_in_blocks(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(1, " ".join(BASE.split(" ")[5:40])), (2, "One, two"), (3, " ".join(BASE.split(" ")[30:60]))], "item_id long, text string")
     cols = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
