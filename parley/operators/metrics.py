@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from itertools import permutations
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parley.operators.intervals import active, elementary
 
-#: Up to this many labels the best assignment is searched among all, so ties go to the first in order.
-SMALL = 6
-
 
 def normalize_turns(rows: DataFrame, strict: bool = False) -> DataFrame:
     """rec, start, end, speaker of the rows that form a turn: speaker, else person_id, trimmed.
@@ -27,32 +25,34 @@ def normalize_turns(rows: DataFrame, strict: bool = False) -> DataFrame:
     return rows.filter(good).select("rec", "start", "end", speaker.alias("speaker"))
 
 
-def overlaps(ref: DataFrame, hyp: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The elementary intervals (rec, rank, start, end) and both sides' active labels (rec, rank, speaker)."""
-    grid = elementary(ref.select("rec", "start", "end").union(hyp.select("rec", "start", "end")), ["rec"])
-    return grid, active(ref, grid, ["rec"], "speaker"), active(hyp, grid, ["rec"], "speaker")
-
-
-def overlap_matrix(ref: DataFrame, hyp: DataFrame) -> DataFrame:
-    """rec, hyp, ref and the seconds in which both are active."""
-    grid, r, h = overlaps(ref, hyp)
-    both = h.withColumnRenamed("speaker", "hyp").join(r.withColumnRenamed("speaker", "ref"), ["rec", "rank"]).join(grid, ["rec", "rank"])
-    return both.groupBy("rec", "hyp", "ref").agg(F.sum(F.col("end") - F.col("start")).alias("seconds"))
+def co_activity(ref: DataFrame, hyp: DataFrame) -> DataFrame:
+    """rec, ref, hyp and seconds: how long just these labels of either side, as sorted arrays, are active.
 
+    All error rates follow from these rows, of which a recording has no more than
+    sets of labels that meet; both sides' intervals are cut and expanded once.
+    """
+    side = lambda df, name: df.select("rec", "start", "end", F.struct(F.lit(name).alias("side"), "speaker").alias("label"))
+    both = side(ref, "ref").union(side(hyp, "hyp"))
+    grid = elementary(both, ["rec"])
+    of = lambda name: F.array_sort(F.collect_set(F.when(F.col("label.side") == name, F.col("label.speaker")))).alias(name)
+    sets = active(both, grid, ["rec"], "label").groupBy("rec", "rank").agg(of("ref"), of("hyp"))
+    none = F.array().cast("array<string>")
+    per = grid.filter("end is not null").join(sets, ["rec", "rank"], "left").select("rec", F.coalesce("ref", none).alias("ref"), F.coalesce("hyp", none).alias("hyp"), (F.col("end") - F.col("start")).alias("length"))
+    return per.groupBy("rec", "ref", "hyp").agg(F.sum("length").alias("seconds"))
+
+
+def overlap_matrix(ref: DataFrame, hyp: DataFrame, ignore_overlap: bool = False) -> DataFrame:
+    """rec, hyp, ref and the seconds in which both are active; with ignore_overlap, where one reference speaker is."""
+    sets = co_activity(ref, hyp)
+    if ignore_overlap:
+        sets = sets.filter(F.size("ref") < 2)
+    each = sets.select("rec", F.explode("hyp").alias("hyp"), "ref", "seconds").select("rec", "hyp", F.explode("ref").alias("ref"), "seconds")
+    return each.groupBy("rec", "hyp", "ref").agg(F.sum("seconds").alias("seconds"))
 
-def assignment(weights: np.ndarray) -> list[int]:
-    """For each row a column, all different, of greatest total weight.
 
-    Shortest augmenting paths over reduced costs, one row at a time, on a square
-    matrix padded with zeros; few rows are tried in all orders instead.
-    """
-    n = max(weights.shape)
-    square = np.zeros((n, n))
-    square[: weights.shape[0], : weights.shape[1]] = weights
-    if n <= SMALL:
-        rows = np.arange(n)
-        return list(max(permutations(range(n)), key=lambda p: square[rows, p].sum()))
-    cost = square.max() - square
+def _least_costs(cost: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """An assignment of least cost, as the column of each row, and the reduced costs: shortest augmenting paths, a row at a time."""
+    n = len(cost)
     row_price, col_price = np.zeros(n), np.zeros(n)
     row_of = np.full(n, -1)
     for start in range(n):
@@ -79,7 +79,62 @@ def assignment(weights: np.ndarray) -> list[int]:
     out = [-1] * n
     for col, row in enumerate(row_of):
         out[row] = col
-    return out
+    return out, cost - row_price[:, None] - col_price
+
+
+def _rematched(chosen: list[int], allowed: np.ndarray, row: int) -> list[int] | None:
+    """chosen with row moved to one of its allowed columns, others moved as they may; None if they can't be."""
+    out, owner = list(chosen), {c: r for r, c in enumerate(chosen) if r != row}
+    free, came, queue = chosen[row], {}, [row]
+    for r in queue:
+        for c in np.flatnonzero(allowed[r]).tolist():
+            if c in came:
+                continue
+            came[c] = r
+            if c == free:
+                while True:
+                    r = came[c]
+                    c, out[r] = out[r], c
+                    if r == row:
+                        return out
+            queue.append(owner[c])
+    return None
+
+
+def assignment(weights: np.ndarray) -> list[int]:
+    """For each row a column, all different, of greatest total weight, on a square matrix padded with zeros.
+
+    Of several such assignments that one is taken whose first row has the first
+    column of positive weight that any of them gives it, or else none; then the
+    second row, and so on, at every size.
+    """
+    n = max(weights.shape)
+    square = np.zeros((n, n))
+    square[: weights.shape[0], : weights.shape[1]] = weights
+    chosen, reduced = _least_costs(square.max() - square)
+    # Any best assignment uses edges without reduced cost only, and any of these edges make a best one.
+    allowed = reduced <= 1e-9 * max(1.0, square.max())
+    allowed[np.arange(n), chosen] = True
+    for row in range(weights.shape[0]):
+        tight = allowed[row].copy()
+        for some in [[c] for c in np.flatnonzero(tight & (square[row] > 0))] + [np.flatnonzero(tight & (square[row] == 0))]:
+            if not len(some):
+                continue
+            allowed[row] = False
+            allowed[row, some] = True
+            moved = chosen if allowed[row, chosen[row]] else _rematched(chosen, allowed, row)
+            if moved:
+                chosen = moved
+                break
+    return [int(c) for c in chosen]
+
+
+def _mapped(table: dict[tuple[str, str], float], hyps: list[str], refs: list[str]) -> dict[str, str]:
+    """The reference label of each hypothesis label that has one, from the seconds in which both are active."""
+    if not hyps or not refs:
+        return {}
+    w = np.array([[float(table.get((h, r), 0)) for r in refs] for h in hyps])
+    return {hyps[i]: refs[j] for i, j in enumerate(assignment(w)[: len(hyps)]) if j < len(refs) and w[i, j] > 0}
 
 
 def speaker_mapping(matrix: DataFrame) -> DataFrame:
@@ -89,37 +144,71 @@ def speaker_mapping(matrix: DataFrame) -> DataFrame:
     """
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
-        table = group.pivot_table(index="hyp", columns="ref", values="seconds", aggfunc="sum", fill_value=0).sort_index().sort_index(axis=1)
-        w = table.to_numpy(dtype=np.float64)
-        chosen = assignment(w)
-        rows = [(group["rec"].iloc[0], table.index[i], table.columns[j], int(w[i, j])) for i, j in enumerate(chosen[: w.shape[0]]) if j < w.shape[1] and w[i, j] > 0]
-        return pd.DataFrame(rows, columns=["rec", "hyp", "ref", "seconds"])
+        table = {(h, r): s for h, r, s in zip(group["hyp"], group["ref"], group["seconds"], strict=True)}
+        found = _mapped(table, sorted({h for h, _ in table}), sorted({r for _, r in table}))
+        return pd.DataFrame([(group["rec"].iloc[0], h, r, table[h, r]) for h, r in found.items()], columns=["rec", "hyp", "ref", "seconds"])
+
+    return matrix.groupBy("rec").applyInPandas(solve, matrix.select("rec", "hyp", "ref", "seconds").schema)
+
+
+def _rounded(x: float) -> float:
+    return math.floor(x * 1e6 + 0.5) / 1e6
 
-    return matrix.groupBy("rec").applyInPandas(solve, matrix.select("rec", "hyp", "ref", F.col("seconds").cast("long")).schema)
+
+def evaluation(ref: DataFrame, hyp: DataFrame, ignore_overlap: bool = False) -> DataFrame:
+    """A row for each recording of either side: numbers of speakers, mapping (null: not mapped), seconds scored and of each error, der and jer.
+
+    With ignore_overlap, time with more than one reference speaker neither counts
+    nor takes part in the mapping. Without reference speech, errors are divided by
+    one second. jer is the mean over reference speakers of 1 - intersection / union
+    with the mapped label, 1 where there is none.
+    """
+    sets = co_activity(ref, hyp)
+    number = sets.schema["seconds"].dataType
+    seconds = ("scored_seconds", "ref_seconds", "missed", "false_alarm", "confused")
+    schema = T.StructType(
+        [sets.schema["rec"], *(T.StructField(x, T.LongType()) for x in ("ref_speakers", "hyp_speakers", "count_error")), T.StructField("mapping", T.MapType(T.StringType(), T.StringType()))]
+        + [T.StructField(x, number) for x in seconds] + [T.StructField("der", T.DoubleType()), T.StructField("jer", T.DoubleType()), T.StructField("ignore_overlap", T.BooleanType())]
+    )
+
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        rows = [(list(r), list(h), s) for r, h, s in zip(group["ref"], group["hyp"], group["seconds"], strict=True)]
+        refs, hyps = (sorted({x for row in rows for x in row[k]}) for k in (0, 1))
+        scored = [row for row in rows if not ignore_overlap or len(row[0]) < 2]
+        table: dict[tuple[str, str], float] = {}
+        for r, h, s in scored:
+            for pair in ((y, x) for x in r for y in h):
+                table[pair] = table.get(pair, 0) + s
+        mapping = _mapped(table, hyps, refs)
+        total = dict.fromkeys(seconds, 0)
+        spoken: dict[tuple[str, str], float] = {}
+        for r, h, s in scored:
+            right = len({mapping.get(x) for x in h} & set(r))
+            for name, times in zip(seconds, (1, len(r), max(0, len(r) - len(h)), max(0, len(h) - len(r)), min(len(r), len(h)) - right), strict=True):
+                total[name] += times * s
+            for kind, labels in (("ref", r), ("hyp", h)):
+                for x in labels:
+                    spoken[kind, x] = spoken.get((kind, x), 0) + s
+        errors = []
+        by_ref = {r: h for h, r in mapping.items()}
+        for r in refs:
+            h = by_ref.get(r)
+            errors.append(1.0 if h is None else 1 - table[h, r] / (spoken["ref", r] + spoken["hyp", h] - table[h, r]))
+        wrong = total["missed"] + total["false_alarm"] + total["confused"]
+        if not isinstance(number, T.LongType):
+            total = {k: _rounded(v) for k, v in total.items()}
+        der = _rounded(wrong / (total["ref_seconds"] or 1))
+        row = (group["rec"].iloc[0], len(refs), len(hyps), len(hyps) - len(refs), {h: mapping.get(h) for h in hyps}, *(total[k] for k in seconds), der, _rounded(sum(errors) / len(errors) if errors else 0.0), ignore_overlap)
+        return pd.DataFrame([row], columns=schema.names)
+
+    return sets.groupBy("rec").applyInPandas(solve, schema)
 
 
 def error_rates(ref: DataFrame, hyp: DataFrame, ignore_overlap: bool = False) -> DataFrame:
     """Per recording: seconds of reference speech, missed, false alarm and confused, and der."""
-    grid, r, h = overlaps(ref, hyp)
-    mapping = speaker_mapping(overlap_matrix(ref, hyp)).select("rec", "hyp", F.col("ref").alias("speaker"))
-    right = h.withColumnRenamed("speaker", "hyp").join(mapping, ["rec", "hyp"]).join(r, ["rec", "rank", "speaker"])
-    count = lambda df, name: df.groupBy("rec", "rank").agg(F.count("*").alias(name))
-    per = grid.filter("end is not null").join(count(r, "r"), ["rec", "rank"], "left").join(count(h, "h"), ["rec", "rank"], "left").join(count(right, "ok"), ["rec", "rank"], "left").fillna(0, ["r", "h", "ok"])
-    if ignore_overlap:
-        per = per.filter("r < 2")
-    length = F.col("end") - F.col("start")
-    total = lambda e, name: F.sum(length * e).alias(name)
-    out = per.groupBy("rec").agg(total(F.col("r"), "ref_seconds"), total(F.greatest(F.col("r") - F.col("h"), F.lit(0)), "missed"), total(F.greatest(F.col("h") - F.col("r"), F.lit(0)), "false_alarm"), total(F.least("r", "h") - F.col("ok"), "confused"))
-    rate = (F.col("missed") + F.col("false_alarm") + F.col("confused")) / F.col("ref_seconds")
-    return out.withColumn("der", F.round(F.when(F.col("ref_seconds") > 0, rate).when(F.col("false_alarm") > 0, F.lit(1.0)).otherwise(F.lit(0.0)), 6))
-
-
-def jaccard_error(ref: DataFrame, hyp: DataFrame) -> DataFrame:
-    """Per recording: the mean over reference speakers of 1 - intersection / union with the mapped label; jer."""
-    grid, r, h = overlaps(ref, hyp)
-    length = grid.select("rec", "rank", (F.col("end") - F.col("start")).alias("length"))
-    spoken = lambda df, name: df.join(length, ["rec", "rank"]).groupBy("rec", "speaker").agg(F.sum("length").alias(name))
-    mapping = speaker_mapping(overlap_matrix(ref, hyp))
-    each = spoken(r, "own").withColumnRenamed("speaker", "ref").join(mapping, ["rec", "ref"], "left").join(spoken(h, "other").withColumnRenamed("speaker", "hyp"), ["rec", "hyp"], "left")
-    error = F.coalesce(1 - F.col("seconds") / (F.col("own") + F.col("other") - F.col("seconds")), F.lit(1.0))
-    return each.groupBy("rec").agg(F.count("*").alias("n_speakers"), F.round(F.avg(F.round(error, 9)), 6).alias("jer"))
+    return evaluation(ref, hyp, ignore_overlap).select("rec", "ref_seconds", "missed", "false_alarm", "confused", "der")
+
+
+def jaccard_error(ref: DataFrame, hyp: DataFrame, ignore_overlap: bool = False) -> DataFrame:
+    """Per recording: the number of reference speakers and the mean of their errors, jer."""
+    return evaluation(ref, hyp, ignore_overlap).select("rec", F.col("ref_speakers").alias("n_speakers"), "jer")
