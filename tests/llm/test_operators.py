@@ -255,6 +255,66 @@ def test_embeddings(spark):
     assert embdedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+def cosine_groups(rows):
+    """n_links and component by id, by brute force; vectors are scaled by their greatest component."""
+    good = [(i, np.array(v) / np.abs(v).max(), lab) for i, v, lab in rows]
+    links, root = dict.fromkeys((i for i, *_ in good), 0), {i: i for i, *_ in good}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, v, lab in good:
+        for j, w, other in good:
+            if i < j and lab == other and len(v) == len(w) and v @ w / np.sqrt((v @ v) * (w @ w)) >= 0.93:
+                links[i] += 1
+                links[j] += 1
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: (i, links[i], find(i), find(i) == i) for i in root}
+
+
+EMBEDDINGS = "vec_id long, embedding array<double>, label int"
+
+
+def test_embeddings_of_several_dimensions_and_sizes(spark, monkeypatch):
+    monkeypatch.setattr(embdedup, "WIDE", 20)  # 24 dimensions are ordered by variance only
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=d) * 0.2 + base).tolist(), 0) for d in (3, 7, 24) for i, base in zip(range(d * 1000, d * 1000 + 60), np.repeat(rng.normal(size=(6, d)), 10, axis=0), strict=True)]
+    tiny, huge = [1e-200, 1e-200, 0.0], [1e200, 1e200, 1e190]
+    rows += [(1, tiny, 1), (2, huge, 1), (3, [5.0, 5.0, 0.0], 1), (4, [-1e-300, 0.0, 0.0], 1), (5, [-1e300, 0.0, 1.0], 1)]
+    got = {r["vec_id"]: tuple(r) for r in embdedup.near_duplicates(spark.createDataFrame(rows, EMBEDDINGS), tile=4).collect()}
+    assert got == cosine_groups(rows)
+    assert got[2][2] == 1 and got[3][1] == 2 and got[5][2] == 4
+
+
+def test_embeddings_repeated_and_null_ids(spark):
+    a, b, c = [1.0, 0.0], [0.0, 1.0], [1.0, 0.01]
+    rows = [(1, a, 0), (1, b, 0), (2, c, 0), (3, [0.01, 1.0], 0), (None, a, 0), (4, [], 0), (5, [-0.0, 0.0], 0)]
+    table = spark.createDataFrame(rows, EMBEDDINGS).withColumns({"node": F.lit("x"), "width": F.lit(1), "vector": F.lit(2)})
+    got = sorted((str(r["vec_id"]), r["n_links"], r["component_id"]) for r in embdedup.near_duplicates(table).collect())
+    # Through the two vectors of row 1, 2 and 3 are of one component.
+    assert got == [("1", 1, 1), ("1", 1, 1), ("2", 1, 1), ("3", 1, 1), ("4", 0, 4), ("5", 0, 5), ("None", 0, None)]
+
+
+def test_embedding_tiles_meet_near_ones_only(spark, monkeypatch):
+    monkeypatch.setattr(embdedup, "BLOCK", 1)
+    rng = np.random.default_rng(4)
+    common = 3 * rng.normal(size=32)  # all vectors share a direction, as real ones do
+    shown, plane = [], rng.normal(size=(3, 32))
+    for n in (40, 160):
+        centres = rng.normal(size=(n, 3)) @ plane
+        rows = [(i, (common + centres[i % n] * 2 + rng.normal(size=32) * 0.05).tolist(), 0) for i in range(n * 20)]
+        classes = spark.createDataFrame(rows, EMBEDDINGS).select("label", F.size("embedding").alias("width"), F.col("vec_id").alias("node"), F.lit(1).alias("copies"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+        tiled = embdedup._tiles(embdedup._placed(classes, embdedup._frames(classes)), 8).cache()
+        tiles = tiled.select("tile").distinct().count()
+        shown.append((tiles, embdedup._meets(tiled, 0.93).count()))
+        tiled.unpersist()
+    (few, near), (many, more) = shown
+    assert more < 0.4 * many * (many + 1) / 2 and more / near < 0.8 * (many / few) ** 2, shown
+
+
 def labelled(spark, bad):
     rows = [(i, prose(60, i) if i % 2 else bad(i), int(i % 2)) for i in range(300)]
     return spark.createDataFrame([r[:2] for r in rows], SCHEMA), spark.createDataFrame([(r[0], r[2], 1 - r[2]) for r in rows], "doc_id long, quality int, toxic int")
