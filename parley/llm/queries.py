@@ -43,7 +43,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("runs", "items")
+    out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), proximity=decontam.PROXIMITY)
+    return out.drop("runs", "items").withColumn("near_items", F.array_join("near_items", ","))
 
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,4 +95,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from parley.llm import sql
 
-    return {"op3_decontam": sql.DECONTAM, "op4_url_filter": sql.url_filter(URL_LIST, CAPTURE_DAYS), "op6_embedding_dedup": sql.EMBEDDING, "op7_minhash": sql.MINHASH}
+    return {"op3_decontam": sql.decontam(*decontam.PROXIMITY), "op4_url_filter": sql.url_filter(URL_LIST, CAPTURE_DAYS), "op6_embedding_dedup": sql.EMBEDDING, "op7_minhash": sql.MINHASH}

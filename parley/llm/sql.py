@@ -4,16 +4,24 @@ from __future__ import annotations
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-DECONTAM = rf"""WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+
+def decontam(terms: int, slop: int) -> str:
+    return rf"""WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
 win AS (SELECT DISTINCT item_id, w[k:k + 12] AS x FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) t(k) WHERE len(w) > 0),
 lens AS (SELECT DISTINCT len(x) AS n FROM win),
 occ AS (SELECT doc_id, k, n, w[k:k + n - 1] AS x FROM d, lens, unnest(range(1, len(w) - n + 2)) t(k)),
 hit AS (SELECT doc_id, k, n, item_id FROM occ JOIN win USING (x)),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id),
-its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM hit GROUP BY doc_id)
-SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)"""
+its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM hit GROUP BY doc_id),
+tok AS (SELECT doc_id, p, w[p] AS t FROM d, unnest(range(1, len(w) + 1)) x(p)),
+cnt AS (SELECT t, count(*) AS n FROM tok GROUP BY t),
+rare AS (SELECT item_id, t, row_number() OVER (PARTITION BY item_id ORDER BY n, t) AS k, count(*) OVER (PARTITION BY item_id) AS m FROM (SELECT DISTINCT item_id, unnest(w) AS t FROM b) JOIN cnt USING (t)),
+led AS (SELECT item_id, doc_id, p FROM rare JOIN tok USING (t) WHERE k = 1 AND m >= {terms}),
+met AS (SELECT l.item_id, l.doc_id, l.p FROM led l JOIN rare r ON r.item_id = l.item_id AND r.k BETWEEN 2 AND {terms} JOIN tok o ON o.doc_id = l.doc_id AND o.t = r.t AND abs(o.p - l.p) <= {slop} GROUP BY ALL HAVING count(DISTINCT r.k) = {terms} - 1),
+nr AS (SELECT doc_id, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS near_items FROM met GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(near_items, '') AS near_items
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN nr USING (doc_id)"""
 
 
 def url_filter(entries: tuple, days: int) -> str:

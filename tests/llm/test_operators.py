@@ -107,12 +107,66 @@ def test_proximity(spark):
     assert near([(1, "z z alpha"), (2, "beta gamma alpha")]) == {2}
 
 
-def test_decontamination_in_blocks(spark, docs, monkeypatch):
-    bench = spark.createDataFrame([(1, " ".join(BASE.split(" ")[5:40])), (2, "One, two"), (3, " ".join(BASE.split(" ")[30:60]))], "item_id long, text string")
-    cols = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    whole = sorted(map(str, decontam.contamination(docs, bench).select(*cols).collect()))
+def test_decontamination_in_blocks_and_segments(spark, docs, monkeypatch):
+    bench = spark.createDataFrame([(1, " ".join(BASE.split(" ")[5:40])), (2, "One, two"), (3, " ".join(BASE.split(" ")[30:60])), (4, "ban ra")], "item_id long, text string")
+    key = lambda r: (str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"], str(r["runs"]), str(r["near_items"]))
+    whole = sorted(map(key, decontam.contamination(docs, bench, proximity=(2, 3)).collect()))
+    assert any(x[7] != "[]" for x in whole) and sum(x[2] > 0 for x in whole) > 3
+    monkeypatch.setattr(decontam, "SEGMENT_WORDS", 100)
+    monkeypatch.setattr(decontam, "SEGMENT_DOCS", 2)
+    assert sorted(map(key, decontam.contamination(docs, bench, proximity=(2, 3)).collect())) == whole
+    clean = decontam.decontaminate(docs, bench).count()
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 10)
-    assert sorted(map(str, decontam.contamination(docs, bench).select(*cols).collect())) == whole
+    assert sorted(map(key, decontam.contamination(docs, bench, proximity=(2, 3)).collect())) == whole
+    monkeypatch.setattr(decontam, "BROADCAST_KEYS", 0)
+    assert decontam.decontaminate(docs, bench).count() == clean == sum(not x[5] for x in whole)
+
+
+def test_one_benchmark_block_is_held(spark, docs, monkeypatch):
+    import gc
+    import weakref
+
+    class Block(list):
+        def __reduce__(self):
+            return list, (list(self),)
+
+    def blocks(_):
+        for k in range(3):
+            block = Block([(str(k), BASE.encode())])
+            held = weakref.ref(block)
+            yield block
+            del block
+            gc.collect()
+            assert held() is None
+
+    monkeypatch.setattr(decontam, "_blocks", blocks)
+    assert decontam.contamination(docs, docs).filter("n_items = 3").count() >= 2
+
+
+def test_phrases_and_proximity_by_brute_force(spark):
+    r = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(30)] + ["the"] * 20
+    texts = [" ".join(r.choices(vocabulary, k=r.randrange(0, 80))) for _ in range(120)]
+    tests = [" ".join(r.choices(vocabulary, k=r.randrange(1, 6))) for _ in range(40)] + [" ".join(x.split()[:9]) for x in texts[:10]]
+    got = {x["doc_id"]: (x["items"], x["near_items"], x["n_hit"]) for x in decontam.contamination(spark.createDataFrame(list(enumerate(texts)), SCHEMA), spark.createDataFrame(list(enumerate(tests)), "item_id long, text string"), size=3, proximity=(2, 4)).collect()}
+    often = {}
+    for w in " ".join(texts).split():
+        often[w] = often.get(w, 0) + 1
+    for d, text in enumerate(texts):
+        w = text.split()
+        items, near, hit = set(), set(), set()
+        for i, test in enumerate(tests):
+            x = test.split()
+            for k in range(max(1, len(x) - 2)):
+                part = x[k : k + 3]
+                for at in range(len(w) - len(part) + 1):
+                    if w[at : at + len(part)] == part:
+                        items.add(str(i))
+                        hit.update(range(at, at + len(part)))
+            rare = sorted({y for y in x if y in often}, key=lambda y: (often[y], y))[:2]
+            if len(rare) == 2 and any(w[p] == rare[0] and rare[1] in w[max(0, p - 4) : p + 5] for p in range(len(w))):
+                near.add(str(i))
+        assert got[d] == (sorted(items), sorted(near), len(hit))
 
 
 def test_minhash(docs, empty):
