@@ -157,7 +157,7 @@ def test_phrases_and_proximity_by_brute_force(spark):
         items, near, hit = set(), set(), set()
         for i, test in enumerate(tests):
             x = test.split()
-            for k in range(max(1, len(x) - 2)):
+            for k in range(max(1, len(x) - 2) if x else 0):
                 part = x[k : k + 3]
                 for at in range(len(w) - len(part) + 1):
                     if w[at : at + len(part)] == part:
