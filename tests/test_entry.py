@@ -2,6 +2,10 @@
 
 import math
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -40,3 +44,15 @@ def test_query(spark, duck, name):
         assert got == sorted(tuple(text(r[names.index(c)]) for c in cols) for r in rel.fetchall())
     else:
         assert got
+
+
+@pytest.mark.parametrize("gone", [("parley/llm", "tests/llm"), ("parley/llm", "tests/llm", "corpus_pipeline.py"), ("corpus_pipeline.py",)])
+def test_without_the_training_data_subpackage(tmp_path, gone):
+    """The rest goes on where the subpackage, or the pipeline, was deleted."""
+    root = Path(__file__).parent.parent
+    shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "__pycache__", *(Path(g).name for g in gone if "/" in g), *(g for g in gone if "/" not in g)))
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert 'der' in q and set(s) <= set(q); print(*q)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env=os.environ | {"PYTHONPATH": str(tmp_path / "repo")}, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    names = done.stdout.split()
+    assert "pipeline" not in names and any(n.startswith("op") for n in names) == ("parley/llm" not in gone and (root / "parley/llm").is_dir())
