@@ -407,6 +407,17 @@ def _texts_of(docs: DataFrame, classes: DataFrame, postings: DataFrame, scratch:
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, of which one of each group stays: that of the least doc_id."""
+    """The rows of docs, all columns, of which one of each group stays: that of the least doc_id.
+
+    Rows that repeat a doc_id are one document; those without doc_id are one for each text.
+    """
     gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    left = docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return left
+    # Of rows that repeat a doc_id, or a text without one, that of the least hash; counts and minima are summed before they move.
+    id_, own = F.col("doc_id"), F.xxhash64("text")
+    marked = left.withColumns({"__mark": own, "__node": F.struct(id_.alias("id"), F.when(id_.isNull(), own).alias("text"))})
+    least = marked.groupBy("__node").agg(F.min("__mark").alias("__least")).withColumnRenamed("__node", "__of")
+    kept = marked.join(least, marked["__node"].eqNullSafe(least["__of"]) & (marked["__mark"] == least["__least"]), "left_semi")
+    return kept.dropDuplicates(["__node"]).drop("__mark", "__node")

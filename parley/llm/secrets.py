@@ -2,11 +2,11 @@
 
 Base kinds are found by pattern anywhere: assign, access and hex. Weak parts
 (identifier, key and endpoint candidates) say little alone: they are reported only
-where complementary parts stand in one scope. Parts are joined to scopes as
-intervals: the text is cut into cells of half a scope, each part enters the cells
-that its scope reaches, and a part counts if a complement in that cell lies within
-the scope. A cell holds no more parts than fit its characters, so no group grows
-with a document.
+where complementary parts stand in one scope: no more than SCOPE characters apart,
+from end to start. Parts are joined as intervals: the text is cut into cells of a
+scope, a weak part enters the cells that it covers and every part those that its
+scope reaches, and a weak part counts if a complement in one of its cells is near. A
+cell holds no more parts than fit its characters, so no group grows with a document.
 
 Defined results: null and empty texts have no spans; spans of one kind never
 overlap; equal rows get equal results; an empty table gives no rows; other columns
@@ -29,8 +29,8 @@ HEX = r"[0-9a-f]{24,}"
 ASSIGN_HINT = r"(?i:passw|secret|token|api_?key)"
 
 #: Weak parts: what tells who connects, what it proves it with, and where to.
-IDENTIFIER = r"(?i:user(?:name)?|login|client_?id|account)\x20*[:=]\x20*[A-Za-z0-9_.@-]{3,}"
-IDENTIFIER_HINT = r"(?i:user|login|client_?id|account)(?i:name)?\x20*[:=]"
+IDENTIFIER = r"""(?i:user(?:name)?|login|client_?id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
+IDENTIFIER_HINT = r"""(?i:user|login|client_?id|account)(?i:name)?["']?\x20*[:=]"""
 KEY = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9a-z+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}"
 ENDPOINT = r"(?i:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>|]{3,}"
 KINDS = ("assign", "access", "hex", "identifier", "key", "endpoint")
@@ -74,15 +74,15 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def linked(weak: DataFrame, parts: DataFrame, scope: int) -> DataFrame:
-    """The weak parts with a complement that starts within scope of them: an interval join by cells."""
-    cell = F.floor(F.col("start") / scope)
-    around = parts.select(F.col("row").alias("o_row"), F.explode(F.sequence(cell - 1, cell + 1)).alias("o_cell"), F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("rank").alias("o_rank"))
+    """The weak parts with a complement at most scope characters before or behind them: an interval join by cells."""
+    cells = lambda low, high: F.explode(F.sequence(F.floor(low / scope), F.floor(high / scope)))
+    around = parts.select(F.col("row").alias("o_row"), cells(F.col("start") - scope, F.col("end") + scope).alias("o_cell"), F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("rank").alias("o_rank"))
     fits = F.lit(False)
     for kind, others in COMPLEMENT.items():
         fits = fits | ((F.col("rank") == KINDS.index(kind)) & F.col("o_rank").isin(*map(KINDS.index, others)))
-    near = (F.abs(F.col("start") - F.col("o_start")) <= scope) & ((F.col("o_end") <= F.col("start")) | (F.col("end") <= F.col("o_start")))
-    at = weak.withColumn("cell", cell)
-    return at.join(around, (F.col("row") == F.col("o_row")) & (F.col("cell") == F.col("o_cell")) & near & fits, "left_semi").drop("cell")
+    gap = F.greatest(F.col("o_start") - F.col("end"), F.col("start") - F.col("o_end"))
+    at = weak.withColumn("cell", cells(F.col("start"), F.col("end")))
+    return at.join(around, (F.col("row") == F.col("o_row")) & (F.col("cell") == F.col("o_cell")) & gap.between(0, scope) & fits, "left_semi").drop("cell").distinct()
 
 
 def _listed(spans: Column) -> Column:

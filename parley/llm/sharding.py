@@ -9,7 +9,8 @@ texts is only cut where keeping it whole would miss the tolerance.
 
 Defined results: a null text has size 1 and the hash of its null; an empty text
 size 1; repeated rows can't be told apart and share a shard; an empty table gives
-no rows; other columns are carried along by ``shard_documents``.
+no rows; other columns are carried along by ``shard_documents``, but for those named
+size, shard and slot, which are replaced.
 """
 
 from __future__ import annotations

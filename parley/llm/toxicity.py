@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from parley.llm.minhash import Shingler
 from parley.llm.samples import labelled
+from parley.llm.scratch import Scratch
 
 #: Most labelled documents of each class that the lexicon and the score are fitted on.
 PER_CLASS = 3000
@@ -40,7 +41,7 @@ PRIOR_WEIGHT = 2.0
 
 #: Terms known to insult, with prior weight until labels say otherwise.
 KNOWN = ("disgusting", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "worthless")
-#: Phrases in which a term is harmless.
+#: Phrases in which a term, known or learned, is harmless.
 EXCEPTIONS = ("class clown", "clown fish", "good loser", "trash bag", "trash bin", "trash can", "trash collection")
 #: Characters that look like a Latin letter.
 HOMOGLYPHS = {
@@ -184,9 +185,10 @@ def _stems(counted: dict[str, tuple[int, int]], all_bad: int, all_good: int) ->
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, column: str = "toxic", per_class: int = PER_CLASS) -> Lexicon:
     """Learn weights and score from at most per_class labelled documents of each class."""
     sample = labelled(docs, labels, column, allowed, per_class)
-    # Copies of a toxic text would make all its rare words look toxic.
+    # Copies of a toxic text would make all its rare words look toxic: of those that share a key, the least doc_id's stays.
     keyed = T.StructType([*sample.schema, T.StructField("key", T.LongType())])
-    sample = sample.mapInArrow(_keyed, keyed).dropDuplicates(["label", "key"]).select("doc_id", "text", "label")
+    least = sample.mapInArrow(_keyed, keyed).groupBy("label", "key").agg(F.min(F.struct("doc_id", "text")).alias("x"))
+    sample = Scratch(docs.sparkSession).save(least.select("x.doc_id", "x.text", "label"), "sample")
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     weights = {folded(w): PRIOR_WEIGHT for w in KNOWN}
     all_bad, all_good = sizes.get(1, 0), sizes.get(0, 0)

@@ -15,7 +15,9 @@ prefix matches whole path segments at any depth, that of a bare host all its pag
 empty segments don't count; a domain matches itself and the hosts below it, but one
 of a single label no host below it; a null or unparsable URL has no host and matches
 nothing; a null fetch time likewise; entries at the same time count as a removal if
-any of them is; repeated rows get a row each; an empty list blocks nothing.
+any of them is; list rows with a null are no entries; repeated rows get a row each;
+an empty list blocks nothing, an empty table gives no rows; other columns are carried
+along, but for one named matches, which is replaced.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from parley.llm.scratch import Scratch
+
 
 def _pattern(kind: Column, pattern: Column) -> Column:
     """The pattern in the form that captures' keys have."""
@@ -64,7 +68,8 @@ def keys_of(url: Column) -> Column:
 def active_entries(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """The columns of captures (which has url and fetched_at) with matches: the (kind, pattern, category) in force at fetch time, sorted."""
     folded = intervals(entries).groupBy("kind", "pattern").agg(F.collect_list(F.struct("category", "from", "until")).alias("__spans"))
-    keyed = captures.withColumn("__row", F.monotonically_increasing_id())
+    # Written first: read twice, captures out of a shuffle could be numbered anew.
+    keyed = Scratch(captures.sparkSession).save(captures.withColumn("__row", F.monotonically_increasing_id()), "captures")
     keys = keyed.select("__row", F.col("fetched_at").alias("__at"), F.explode(keys_of(F.col("url"))).alias("k")).select("__row", "__at", "k.*")
     live = F.filter("__spans", lambda s: (s["from"] <= F.col("__at")) & (s["until"].isNull() | (F.col("__at") < s["until"])))
     hits = keys.join(folded, ["kind", "pattern"]).select("__row", "kind", "pattern", F.explode(live).alias("s")).groupBy("__row").agg(F.array_sort(F.collect_set(F.struct("kind", "pattern", F.col("s.category").alias("category")))).alias("matches"))
