@@ -14,12 +14,11 @@ def portable_name(name: Column) -> Column:
 
 
 def validated(entries: DataFrame) -> DataFrame:
-    """entries with error: the first rule that (name, sha256, size, url) breaks, or null."""
+    """entries with error: the first rule that (name, sha256, size) breaks, or null; a missing size breaks none."""
     error = (
         F.when(~portable_name(F.col("name")), F.lit("bad_name"))
         .when(~F.coalesce(F.col("sha256").rlike("^[a-fA-F0-9]{64}$"), F.lit(False)), F.lit("bad_sha256"))
-        .when(~F.coalesce((F.col("size") >= 0) & (F.col("size") <= (1 << 53) - 1), F.lit(False)), F.lit("bad_size"))
-        .when(F.coalesce(F.col("url"), F.lit("")) == "", F.lit("bad_url"))
+        .when((F.col("size") < 0) | (F.col("size") > (1 << 53) - 1), F.lit("bad_size"))
     )
     return entries.withColumn("error", error)
 

@@ -80,23 +80,35 @@ def requested_segments(requests: DataFrame, segments: DataFrame) -> DataFrame:
     return asked.unionByName(whole.select(asked.columns))
 
 
-def learning_evidence(segments: DataFrame) -> DataFrame:
-    """Per recording: seconds and windows of its eligible segments, and whether that is enough to learn from.
+def eligible_segments(segments: DataFrame, clusters: DataFrame) -> DataFrame:
+    """The segments that may be learned from: one known speaker, pure or of unknown purity, of a trusted cluster that isn't transient.
 
-    segments has mixed, speaker, start_ms, end_ms, n_windows and trusted.
+    segments has rec, cluster, speaker, mixed and purity; clusters has rec, cluster, trusted and stability.
     """
-    fit = ~F.col("mixed") & ~F.col("speaker").isin("unknown", "mixed")
+    pure = F.col("purity").isNull() | F.isnan("purity") | (F.col("purity") >= LEAST_PURITY)
+    fit = segments.filter(~F.coalesce("mixed", F.lit(False)) & (F.coalesce("speaker", F.lit("")) != "unknown") & pure)
+    stable = clusters.filter(F.coalesce("trusted", F.lit(False)) & (F.coalesce("stability", F.lit("")) != "transient")).select("rec", "cluster").distinct()
+    return fit.join(stable, ["rec", "cluster"], "left_semi")
+
+
+def learning_evidence(segments: DataFrame, clusters: DataFrame) -> DataFrame:
+    """rec, seconds of the eligible segments, windows of the distinct clusters they name, and whether that is enough to learn from.
+
+    Every recording of segments gets a row. segments also has start_ms and end_ms, clusters n_windows.
+    """
+    fit = eligible_segments(segments, clusters)
     length = F.greatest(F.lit(0), F.coalesce(F.col("end_ms") - F.col("start_ms"), F.lit(0)))
-    out = segments.groupBy("rec").agg(
-        F.bool_and(fit & F.col("trusted")).alias("eligible"), (F.sum(F.when(fit, length).otherwise(0)) / 1000).alias("seconds"), F.sum(F.when(fit, F.col("n_windows")).otherwise(0)).alias("windows"))
-    return out.withColumn("enough", (F.col("seconds") >= LEAST_SECONDS) | (F.col("windows") >= LEAST_WINDOWS))
+    seconds = fit.groupBy("rec").agg((F.sum(length) / 1000).alias("seconds"))
+    windows = clusters.join(fit.select("rec", "cluster").distinct(), ["rec", "cluster"], "left_semi").groupBy("rec").agg(F.sum(F.greatest(F.lit(0), F.coalesce("n_windows", F.lit(0)))).alias("windows"))
+    out = segments.select("rec").distinct().join(seconds, "rec", "left").join(windows, "rec", "left").select("rec", F.coalesce("seconds", F.lit(0.0)).alias("seconds"), F.coalesce("windows", F.lit(0)).alias("windows"), F.col("seconds").isNotNull().alias("eligible"))
+    return out.withColumn("enough", F.col("eligible") & ((F.col("seconds") >= LEAST_SECONDS) | (F.col("windows") >= LEAST_WINDOWS)))
 
 
 def learning_vectors(segments: DataFrame, clusters: DataFrame) -> DataFrame:
-    """rec and prototype: the mean of the prototypes of the clusters that eligible, pure segments name, weighted by windows.
+    """rec and prototype: the mean of the prototypes of the clusters that eligible segments name, weighted by windows.
 
-    segments has rec, cluster, purity; clusters has rec, cluster, v, n_windows.
+    clusters also has v and n_windows; a weight of none is 1.
     """
-    named = segments.filter(F.col("purity").isNull() | F.isnan("purity") | (F.col("purity") >= LEAST_PURITY)).select("rec", "cluster").distinct()
+    named = eligible_segments(segments, clusters).select("rec", "cluster").distinct()
     members = clusters.join(named, ["rec", "cluster"], "left_semi").withColumn("key", F.col("cluster").cast("string"))
-    return prototypes(members, ["rec"], F.col("n_windows").cast("double")).select("rec", "prototype")
+    return prototypes(members, ["rec"], F.greatest(F.lit(1.0), F.coalesce("n_windows", F.lit(1)).cast("double"))).select("rec", "prototype")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.scalars import canonical_cluster_id, lenient_cluster_id
 
-#: The states of an analysis.
+#: The states of an analysis; the reason codes and limits of the quality functions are fixed too.
 STATES = ("reliable", "degraded", "unusable")
 #: Field names that never leave the engine, and the beginnings of private ones.
 PRIVATE_NAMES = ("prototype", "embedding", "embeddings", "vector", "cacheidentity")
@@ -64,14 +64,23 @@ def allowed_clusters(clusters: DataFrame, states: DataFrame) -> DataFrame:
     return clusters.join(states.select("rec", "state"), "rec").filter(fit & (F.col("state") != "unusable") & ((F.col("state") != "degraded") | F.col("strong")))
 
 
-def derived_quality(segments: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Quality where none is given: shares of the segments' number, reason codes, state; rounded."""
+def derived_quality(segments: DataFrame, clusters: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Quality where none is given: shares of the segments' number, reason codes, state; rounded.
+
+    counts (rec, exceeded) says where there were more speakers than allowed. A
+    recording of any of the tables gets a row; without segments its shares are 0.
+    """
+    recs = segments.select("rec").union(clusters.select("rec"))
+    if counts is not None:
+        recs = recs.union(counts.select("rec"))
+    more = counts.select("rec", "exceeded") if counts is not None else recs.select("rec").distinct().withColumn("exceeded", F.lit(False))
     s = segments.groupBy("rec").agg(F.count("*").alias("n"), F.count_if(F.coalesce("mixed", F.lit(False)) | (F.col("speaker") == "mixed")).alias("m"), F.count_if(F.col("speaker") == "unknown").alias("u"))
     c = clusters.groupBy("rec").agg(F.count("*").alias("candidates"), F.count_if("trusted").alias("trusted"))
-    q = s.join(c, "rec", "left").fillna(0, ["candidates", "trusted"]).withColumns({"unknown": F.col("u") / F.col("n"), "mix": F.col("m") / F.col("n")})
+    share = lambda x: F.when(F.col("n") > 0, F.col(x) / F.col("n")).otherwise(F.lit(0.0))
+    q = recs.distinct().join(s, "rec", "left").join(c, "rec", "left").join(more, "rec", "left").fillna(0, ["n", "m", "u", "candidates", "trusted"]).fillna(False, ["exceeded"]).withColumns({"unknown": share("u"), "mix": share("m")})
     none, some = F.col("trusted") == 0, F.col("candidates") > 0
     many = (F.col("candidates") > F.greatest(F.lit(24), F.col("trusted") * 4)) & ~none
-    codes = _codes((none & some, "no_trusted_speakers"), (F.col("unknown") > 0.55, "high_unknown_ratio"), (F.col("mix") > 0.40, "high_mixed_ratio"), (many, "excessive_private_candidates"))
+    codes = _codes((none & some, "no_trusted_speakers"), (F.col("unknown") > 0.55, "high_unknown_ratio"), (F.col("mix") > 0.40, "high_mixed_ratio"), (F.col("exceeded"), "speaker_count_exceeded"), (many, "excessive_private_candidates"))
     state = F.when(none & some, F.lit("unusable")).when((F.col("unknown") > 0.35) | many, F.lit("degraded")).otherwise(F.lit("reliable"))
     return q.select("rec", "trusted", F.round(1 - F.col("unknown"), 6).alias("coverage"), F.round("unknown", 6).alias("unknown_ratio"), F.round("mix", 6).alias("mixed_ratio"), codes.alias("codes"), state.alias("state"))
 
@@ -121,10 +130,11 @@ def redacted(rows: DataFrame) -> DataFrame:
         if isinstance(kind, T.StructType):
             kept = [f for f in kind if not hidden(f.name)]
             return F.when(value.isNotNull(), F.struct(*(strip(value[f.name], f.dataType).alias(f.name) for f in kept))) if kept else F.lit(None)
-        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType | T.ArrayType):
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType | T.ArrayType | T.MapType):
             return F.transform(value, lambda x: strip(x, kind.elementType))
         if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
-            return F.map_filter(value, lambda k, _: ~(k.startswith("_") | F.lower(k).isin(*PRIVATE_NAMES)))
+            kept = F.map_filter(value, lambda k, _: ~(k.startswith("_") | F.lower(k).isin(*PRIVATE_NAMES)))
+            return F.transform_values(kept, lambda _, v: strip(v, kind.valueType)) if isinstance(kind.valueType, T.StructType | T.ArrayType | T.MapType) else kept
         return value
 
     return rows.select(*(strip(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in rows.schema if not hidden(f.name)))

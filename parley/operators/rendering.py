@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 
 from parley.functions.scalars import clean_text, format_clock, subtitle_clock
 
-#: What stands for a missing speaker, and the length of a cue without times.
-NO_SPEAKER = "Unknown speaker"
+#: What stands for a missing speaker, what follows a speaker, the head of a document, and the length of a cue without times.
+NO_SPEAKER, SAYS = "未知说话人", "："
+TITLE, HEAD = "# 本地转写", ("- 任务：", "- 音频：", "- 片段数：")
 CUE_MS = 5000
 
 
@@ -41,28 +42,43 @@ def transcript_text(segments: DataFrame) -> DataFrame:
     return segments.withColumn("t", clean_text(F.col("text"))).filter("t <> ''").groupBy("rec").agg(_joined(F.struct("seg_idx", "t"), " ").alias("text"))
 
 
-def markdown(segments: DataFrame) -> DataFrame:
-    """rec and markdown: a heading of clock and speaker over each text."""
-    block = F.concat(F.lit("### ["), format_clock(F.col("start_ms") / 1000), F.lit("] "), F.coalesce("speaker", F.lit(NO_SPEAKER)), F.lit("\n"), F.coalesce("text", F.lit("")))
-    return segments.withColumn("t", block).groupBy("rec").agg(F.concat(F.lit("# Transcript\n\n"), _joined(F.struct("seg_idx", "t"), "\n\n"), F.lit("\n")).alias("markdown"))
+def _document(segments: DataFrame, block: Column, separator: str, name: str) -> DataFrame:
+    return segments.withColumn("t", block).groupBy("rec").agg(_joined(F.struct("seg_idx", "t"), separator).alias(name), F.count("*").alias("n_segments"))
+
+
+def markdown(segments: DataFrame, tasks: DataFrame) -> DataFrame:
+    """rec and markdown: a head with the task, its audio and its number of segments, then a heading of clock and speaker over each text.
+
+    tasks has rec, task_id and audio_path; a task without segments has a head only.
+    """
+    speaker = F.coalesce(F.nullif("speaker", F.lit("")), F.lit(NO_SPEAKER))
+    block = F.concat(F.lit("### ["), format_clock(F.col("start_ms") / 1000), F.lit("] "), speaker, F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
+    body = tasks.select("rec", "task_id", "audio_path").join(_document(segments, block, "", "body"), "rec", "left")
+    head = F.concat_ws("\n", F.lit(TITLE), F.lit(""), *(F.concat(F.lit(label), value) for label, value in zip(HEAD, (F.coalesce("task_id", F.lit("")), F.coalesce("audio_path", F.lit("")), F.coalesce("n_segments", F.lit(0)).cast("string")), strict=True)))
+    return body.select("rec", F.concat(head, F.lit("\n\n"), F.coalesce("body", F.lit(""))).alias("markdown"))
 
 
 def subtitles(segments: DataFrame, separator: str = ",") -> DataFrame:
-    """rec and subtitles: numbered cues; a missing start is five seconds a cue, a missing end five seconds on."""
+    """rec and subtitles: numbered cues; a missing start is five seconds a cue, an end that is missing or not after it five seconds on."""
     start = F.coalesce("start_ms", F.col("seg_idx") * CUE_MS)
-    end = F.coalesce("end_ms", start + CUE_MS)
-    cue = F.concat((F.col("seg_idx") + 1).cast("string"), F.lit("\n"), subtitle_clock(start, separator), F.lit(" --> "), subtitle_clock(end, separator), F.lit("\n"), F.when(F.col("speaker").isNotNull(), F.concat("speaker", F.lit(": "))).otherwise(F.lit("")), F.coalesce("text", F.lit("")))
+    end = F.when(F.col("end_ms") > start, F.col("end_ms")).otherwise(start + CUE_MS)
+    speaker = F.coalesce(F.nullif("speaker", F.lit("")), F.lit(NO_SPEAKER))
+    cue = F.concat((F.col("seg_idx") + 1).cast("string"), F.lit("\n"), subtitle_clock(start, separator), F.lit(" --> "), subtitle_clock(end, separator), F.lit("\n"), speaker, F.lit(SAYS), F.coalesce("text", F.lit("")), F.lit("\n"))
     head = "WEBVTT\n\n" if separator == "." else ""
-    return segments.withColumn("t", cue).groupBy("rec").agg(F.concat(F.lit(head), _joined(F.struct("seg_idx", "t"), "\n\n"), F.lit("\n")).alias("subtitles"))
+    return _document(segments, cue, "\n", "body").select("rec", F.concat(F.lit(head), "body").alias("subtitles"))
+
 
+def write_artifacts(segments: DataFrame, tasks: DataFrame, path: str, revision: int, formats: tuple[str, ...] = ()) -> None:
+    """A revision's transcript as JSON lines, text and Markdown, and subtitles if asked, in a folder of its own.
 
-def write_artifacts(segments: DataFrame, path: str, revision: int, formats: tuple[str, ...] = ()) -> None:
-    """A revision's transcript as JSON lines, text and Markdown, and subtitles if asked, in a folder of its own."""
+    Each format is a table of rec and value, split as Spark splits it, so many short
+    recordings don't make many files. A revision that exists raises an error.
+    """
     if revision < 1:
         raise ValueError("revisions start at 1")
     base = f"{path}/revisions/{revision:06d}"
-    segments.write.mode("overwrite").json(f"{base}/transcript.json")
-    rendered = {"txt": transcript_text(segments).select("rec", F.col("text").alias("value")), "md": markdown(segments).select("rec", F.col("markdown").alias("value"))}
+    segments.write.mode("errorifexists").json(f"{base}/transcript.json")
+    rendered = {"txt": transcript_text(segments).select("rec", F.col("text").alias("value")), "md": markdown(segments, tasks).select("rec", F.col("markdown").alias("value"))}
     rendered |= {f: subtitles(segments, "," if f == "srt" else ".").select("rec", F.col("subtitles").alias("value")) for f in formats if f in ("srt", "vtt")}
     for name, rows in rendered.items():
-        rows.write.mode("overwrite").partitionBy("rec").text(f"{base}/transcript.{name}")
+        rows.write.mode("errorifexists").json(f"{base}/transcript.{name}")

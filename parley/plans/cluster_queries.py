@@ -152,12 +152,12 @@ def _(spark, sf_dir):
     return C.cluster_points(points(spark, sf_dir))[1].select("rec", "label", "size", "canonical_key", "union_ms", "evidence", F.round("coherence", 6).alias("coherence"), "trusted", "strong", "exceeded")
 
 
-_PROFILES = f"""{_PROTO}, pc AS (SELECT truth, i, sum(x ORDER BY rec, key) AS x FROM (SELECT rec, truth, key, unnest(u) AS x, unnest(range(len(u))) AS i FROM u WHERE rec < 5) GROUP BY ALL),
+_PROFILES = f"""{_PROTO}, pc AS (SELECT truth, i, sum(x ORDER BY rec, key) AS x FROM (SELECT rec, truth, key, unnest(u) AS x, unnest(range(len(u))) AS i FROM u) GROUP BY ALL),
 ps AS (SELECT truth, list(x ORDER BY i) AS s FROM pc GROUP BY ALL), prof AS (SELECT 'person_' || truth AS person_id, 'Person ' || truth AS name, {UNIT.format(v='s')} AS q FROM ps)"""
 
 
 def _profiles(spark, sf_dir):
-    return C.prototypes(points(spark, sf_dir).filter("rec < 5").withColumn("key", F.format_string("%09d%s", "rec", "key")), ["truth"]).select(
+    return C.prototypes(points(spark, sf_dir).withColumn("key", F.format_string("%09d%s", "rec", "key")), ["truth"]).select(
         F.concat(F.lit("person_"), "truth").alias("person_id"), F.concat(F.lit("Person "), "truth").alias("name"), "prototype")
 
 

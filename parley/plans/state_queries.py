@@ -82,14 +82,15 @@ def _(spark, sf_dir):
 
 
 _QD = """q0 AS (SELECT rec, count(*) AS n, count(*) FILTER (WHERE coalesce(mixed, false) OR speaker = 'mixed') AS m, count(*) FILTER (WHERE speaker = 'unknown') AS u FROM sg GROUP BY rec),
-q1 AS (SELECT q0.*, coalesce(c, 0) AS c, coalesce(t, 0) AS t FROM q0 LEFT JOIN (SELECT rec, count(*) AS c, count(*) FILTER (WHERE trusted) AS t FROM norm GROUP BY rec) USING (rec)),
-qd AS (SELECT rec, t AS trusted, round(1 - u::DOUBLE / n, 6) AS coverage, round(u::DOUBLE / n, 6) AS unknown_ratio, round(m::DOUBLE / n, 6) AS mixed_ratio,
- array_to_string(list_filter([CASE WHEN t = 0 AND c > 0 THEN 'no_trusted_speakers' END, CASE WHEN u::DOUBLE / n > 0.55 THEN 'high_unknown_ratio' END, CASE WHEN m::DOUBLE / n > 0.4 THEN 'high_mixed_ratio' END], lambda x: x IS NOT NULL), ',') AS codes,
- CASE WHEN t = 0 AND c > 0 THEN 'unusable' WHEN u::DOUBLE / n > 0.35 THEN 'degraded' ELSE 'reliable' END AS state FROM q1)"""
+q2 AS (SELECT rec, coalesce(n, 0) AS n, coalesce(c, 0) AS c, coalesce(t, 0) AS t, CASE WHEN n > 0 THEN u::DOUBLE / n ELSE 0.0::DOUBLE END AS un, CASE WHEN n > 0 THEN m::DOUBLE / n ELSE 0.0::DOUBLE END AS mi FROM (SELECT rec FROM sg UNION SELECT rec FROM norm) LEFT JOIN q0 USING (rec) LEFT JOIN (SELECT rec, count(*) AS c, count(*) FILTER (WHERE trusted) AS t FROM norm GROUP BY rec) USING (rec)),
+qd AS (SELECT rec, t AS trusted, round(1 - un, 6) AS coverage, round(un, 6) AS unknown_ratio, round(mi, 6) AS mixed_ratio,
+ array_to_string(list_filter([CASE WHEN t = 0 AND c > 0 THEN 'no_trusted_speakers' END, CASE WHEN un > 0.55 THEN 'high_unknown_ratio' END, CASE WHEN mi > 0.4 THEN 'high_mixed_ratio' END, CASE WHEN rec % 5 = 0 AND c > 0 THEN 'speaker_count_exceeded' END], lambda x: x IS NOT NULL), ',') AS codes,
+ CASE WHEN t = 0 AND c > 0 THEN 'unusable' WHEN un > 0.35 THEN 'degraded' ELSE 'reliable' END AS state FROM q2)"""
 
 
 def _derived(spark, sf_dir):
-    return Q.derived_quality(diarized(spark, sf_dir), Q.normalized_clusters(clusters(spark, sf_dir), lenient=True))
+    known = Q.normalized_clusters(clusters(spark, sf_dir), lenient=True)
+    return Q.derived_quality(diarized(spark, sf_dir), known, known.select("rec").distinct().withColumn("exceeded", F.col("rec") % 5 == 0))
 
 
 @query("quality_derived", f"WITH {_CL}, {_SG}, {_QD} SELECT * FROM qd")
@@ -203,16 +204,23 @@ def _(spark, sf_dir):
     return P.corrected(s, ask).select("rec", "seg_idx", "speaker", "corrected")
 
 
-_EV = f"""{_S}, ev AS (SELECT rec, NOT (seg_idx % 7 = 3) AND speaker <> 'system' AS fit, seg_idx <> 5 AS tr, end_ms - start_ms AS d, seg_idx % 3 AS w FROM seg),
-lg AS (SELECT rec, bool_and(fit AND tr) AS eligible, cast(sum(CASE WHEN fit THEN d ELSE 0 END) AS DOUBLE) / 1000 AS seconds, cast(sum(CASE WHEN fit THEN w ELSE 0 END) AS BIGINT) AS windows FROM ev GROUP BY rec)"""
+# Three clusters a recording, one of them not always trusted, one transient in some.
+_EV = f"""{_S}, cs AS (SELECT rec, k AS cluster, k <> 1 OR rec % 2 = 0 AS trusted, CASE WHEN k = 2 AND rec % 3 = 0 THEN 'transient' ELSE 'stable' END AS stability, k AS w FROM (SELECT DISTINCT rec FROM seg), unnest(range(0, 3)) t(k)),
+ev AS (SELECT rec, seg_idx, seg_idx % 3 AS cluster, end_ms - start_ms AS d FROM seg WHERE seg_idx % 7 <> 3 AND speaker <> 'system' AND (seg_idx % 4 <> 2 OR seg_idx % 8 = 2)),
+el AS (SELECT ev.* FROM ev SEMI JOIN (SELECT * FROM cs WHERE trusted AND stability <> 'transient') c USING (rec, cluster)),
+lg AS (SELECT r.rec, coalesce((SELECT sum(d) FROM el WHERE el.rec = r.rec), 0)::DOUBLE / 1000 AS seconds, cast(coalesce((SELECT sum(w) FROM cs SEMI JOIN el USING (rec, cluster) WHERE cs.rec = r.rec), 0) AS BIGINT) AS windows, EXISTS (SELECT 1 FROM el WHERE el.rec = r.rec) AS eligible FROM (SELECT DISTINCT rec FROM seg) r)"""
 
 
 def _evidence(spark, sf_dir):
-    s = segments(spark, sf_dir).withColumns({"mixed": F.col("seg_idx") % 7 == 3, "speaker": F.when(F.col("speaker") == "system", F.lit("unknown")).otherwise(F.col("speaker")), "n_windows": F.col("seg_idx") % 3, "trusted": F.col("seg_idx") != 5})
-    return P.learning_evidence(s)
+    k = F.col("seg_idx")
+    purity = F.when(k % 8 == 2, F.lit(0.9)).when(k % 4 == 2, F.lit(0.5))
+    s = segments(spark, sf_dir).withColumns({"mixed": k % 7 == 3, "speaker": F.when(F.col("speaker") == "system", F.lit("unknown")).otherwise(F.col("speaker")), "cluster": k % 3, "purity": purity})
+    c = s.select("rec").distinct().select("rec", F.explode(F.sequence(F.lit(0), F.lit(2)).cast("array<long>")).alias("cluster"))
+    c = c.withColumns({"trusted": (F.col("cluster") != 1) | (F.col("rec") % 2 == 0), "stability": F.when((F.col("cluster") == 2) & (F.col("rec") % 3 == 0), F.lit("transient")).otherwise(F.lit("stable")), "n_windows": F.col("cluster")})
+    return P.learning_evidence(s, c)
 
 
-@query("learning_gate", f"{_EV} SELECT rec, seconds, windows, seconds >= 1.5 OR windows >= 2 AS enough FROM lg")
+@query("learning_gate", f"{_EV} SELECT rec, seconds, windows, eligible AND (seconds >= 1.5 OR windows >= 2) AS enough FROM lg")
 def _(spark, sf_dir):
     return _evidence(spark, sf_dir).select("rec", "seconds", "windows", "enough")
 
@@ -222,11 +230,13 @@ def _(spark, sf_dir):
     return _evidence(spark, sf_dir).select("rec", "eligible")
 
 
-@query("learning_embedding", f"""WITH v AS (SELECT vec_id // 10 AS rec, vec_id % 10 AS cluster, list_transform(embedding, lambda q: q::DOUBLE) AS v, 1 + vec_id % 4 AS n FROM embeddings WHERE (vec_id % 10) % 3 <> 1), u AS (SELECT rec, cluster, n, {UNIT.format(v='v')} AS u FROM v),
+@query("learning_embedding", f"""WITH v AS (SELECT vec_id // 10 AS rec, vec_id % 10 AS cluster, list_transform(embedding, lambda q: q::DOUBLE) AS v, 1 + vec_id % 4 AS n FROM embeddings WHERE (vec_id % 10) % 3 <> 1 AND vec_id % 10 NOT IN (2, 6)), u AS (SELECT rec, cluster, n, {UNIT.format(v='v')} AS u FROM v),
 c AS (SELECT rec, i, sum(x * n ORDER BY cluster) AS x FROM (SELECT rec, cluster, n, unnest(u) AS x, unnest(range(len(u))) AS i FROM u) GROUP BY ALL), s AS (SELECT rec, list(x ORDER BY i) AS s FROM c GROUP BY ALL) SELECT rec, {_TEXT.format(v=UNIT.format(v='s'))} AS vector FROM s""")
 def _(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("rec"), (F.col("vec_id") % 10).alias("cluster"), F.col("embedding").cast("array<double>").alias("v"), (1 + F.col("vec_id") % 4).alias("n_windows"))
     named = e.select("rec", "cluster", F.when(F.col("cluster") % 3 == 0, F.lit(None).cast("double")).when(F.col("cluster") % 3 == 1, 0.5).otherwise(0.9).alias("purity"))
+    named = named.withColumns({"speaker": F.lit("x"), "mixed": F.lit(False)})
+    e = e.withColumns({"trusted": F.col("cluster") != 2, "stability": F.when(F.col("cluster") == 6, F.lit("transient")).otherwise(F.lit("stable"))})
     return P.learning_vectors(named, e).select("rec", as_text(F.col("prototype")).alias("vector"))
 
 
@@ -343,17 +353,17 @@ def _(spark, sf_dir):
 
 
 # Manifests from parts and suppliers.
-_MF = """mf AS (SELECT p_partkey AS k, CASE p_partkey % 9 WHEN 1 THEN '..' WHEN 2 THEN 'a/b' ELSE 'f' || (p_partkey % 700) END AS name, CASE WHEN p_partkey % 9 = 3 THEN 'zz' ELSE sha256(p_name) END AS sha256, CASE WHEN p_partkey % 9 = 4 THEN -1 ELSE p_size END AS size, CASE WHEN p_partkey % 9 = 5 THEN '' ELSE 'https://x/' END AS url FROM part)"""
+_MF = """mf AS (SELECT p_partkey AS k, CASE p_partkey % 9 WHEN 1 THEN '..' WHEN 2 THEN 'a/b' ELSE 'f' || (p_partkey % 700) END AS name, CASE WHEN p_partkey % 9 = 3 THEN 'zz' ELSE sha256(p_name) END AS sha256, CASE WHEN p_partkey % 9 = 4 THEN -1 WHEN p_partkey % 9 = 6 THEN NULL ELSE p_size END AS size, CASE WHEN p_partkey % 9 = 5 THEN '' ELSE 'https://x/' END AS url FROM part)"""
 
 
 def entries(spark, sf_dir):
     k = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(
         k.alias("k"), F.when(k % 9 == 1, F.lit("..")).when(k % 9 == 2, F.lit("a/b")).otherwise(F.concat(F.lit("f"), (k % 700).cast("string"))).alias("name"), F.when(k % 9 == 3, F.lit("zz")).otherwise(F.sha2(F.col("p_name").cast("binary"), 256)).alias("sha256"),
-        F.when(k % 9 == 4, -1).otherwise(F.col("p_size")).alias("size"), F.when(k % 9 == 5, F.lit("")).otherwise(F.lit("https://x/")).alias("url"))
+        F.when(k % 9 == 4, -1).when(k % 9 != 6, F.col("p_size")).alias("size"), F.when(k % 9 == 5, F.lit("")).otherwise(F.lit("https://x/")).alias("url"))
 
 
-@query("manifest_valid", f"WITH {_MF} SELECT k, CASE k % 9 WHEN 1 THEN 'bad_name' WHEN 2 THEN 'bad_name' WHEN 3 THEN 'bad_sha256' WHEN 4 THEN 'bad_size' WHEN 5 THEN 'bad_url' END AS error FROM mf")
+@query("manifest_valid", f"WITH {_MF} SELECT k, CASE k % 9 WHEN 1 THEN 'bad_name' WHEN 2 THEN 'bad_name' WHEN 3 THEN 'bad_sha256' WHEN 4 THEN 'bad_size' END AS error FROM mf")
 def _(spark, sf_dir):
     return M.validated(entries(spark, sf_dir)).select("k", "error")
 

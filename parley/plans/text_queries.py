@@ -34,12 +34,12 @@ def _(spark, sf_dir):
     return transcripts.parse_asr_lines(raw_output(spark, sf_dir)).select("rec", "id", "start", F.col("end").alias("stop"), "text")
 
 
-@query("parse_asr_json", f"{_S}, c AS (SELECT rec, seg_idx, start_ms / 1000.0 AS s, CASE WHEN seg_idx % 3 <> 0 THEN end_ms / 1000.0 END AS e, {_CLEAN.format('text')} AS text FROM seg WHERE text IS NOT NULL) SELECT rec, printf('seg_%04d', row_number() OVER (PARTITION BY rec ORDER BY seg_idx)) AS id, s::DOUBLE AS start, e::DOUBLE AS stop, text FROM c WHERE text <> ''")
+@query("parse_asr_json", f"{_S}, c AS (SELECT rec, seg_idx, start_ms / 1000.0 AS s, CASE WHEN seg_idx % 3 <> 0 THEN end_ms / 1000.0 END AS e, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text, speaker AS role FROM seg WHERE text IS NOT NULL) SELECT rec, printf('seg_%04d', row_number() OVER (PARTITION BY rec ORDER BY seg_idx)) AS id, s::DOUBLE AS start, e::DOUBLE AS stop, text, CASE WHEN seg_idx % 2 = 0 THEN role ELSE 'unknown' END AS speaker, CASE WHEN seg_idx % 4 = 1 THEN 0.5::DOUBLE END AS confidence FROM c WHERE text <> ''")
 def _(spark, sf_dir):
-    one = F.struct((F.col("start_ms") / 1000).alias("start"), F.when(F.col("seg_idx") % 3 != 0, F.col("end_ms") / 1000).alias("end"), "text")
+    one = F.struct((F.col("start_ms") / 1000).alias("start"), F.when(F.col("seg_idx") % 3 != 0, F.col("end_ms") / 1000).alias("end"), F.concat(F.lit(" \t"), "text", F.lit("\n")).alias("text"), F.when(F.col("seg_idx") % 2 == 0, F.col("speaker")).alias("speaker"), F.when(F.col("seg_idx") % 4 == 1, 0.5).alias("confidence"))
     listed = segments(spark, sf_dir).filter("text is not null").groupBy("rec").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", one.alias("o")))), lambda x: x["o"]).alias("segments"))
     raw = listed.select("rec", F.when(F.col("rec") % 2 == 0, F.to_json("segments")).otherwise(F.to_json(F.struct("segments"))).alias("raw"))
-    return transcripts.parse_asr_json(raw).select("rec", "id", "start", F.col("end").alias("stop"), "text")
+    return transcripts.parse_asr_json(raw).select("rec", "id", "start", F.col("end").alias("stop"), "text", "speaker", "confidence")
 
 
 @query("parse_rttm", f"WITH {TURNS} SELECT rec::VARCHAR AS uri, speaker, start::DOUBLE AS start, \"end\"::DOUBLE AS stop FROM ref WHERE event_id % 11 <> 0")
@@ -130,19 +130,22 @@ def _(spark, sf_dir):
     return rendering.transcript_text(segments(spark, sf_dir))
 
 
-@query("render_markdown", f"""{_S} SELECT rec, '# Transcript' || chr(10) || chr(10) || string_agg('### [' || printf('%02d:%02d:%02d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60) || '] ' || coalesce(speaker, 'Unknown speaker') || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY seg_idx) || chr(10) AS markdown FROM seg GROUP BY rec""")
+@query("render_markdown", f"""{_S} SELECT rec, '# 本地转写' || chr(10) || chr(10) || '- 任务：task_' || rec || chr(10) || '- 音频：/audio/' || rec || '.wav' || chr(10) || '- 片段数：' || count(*) || chr(10) || chr(10) || string_agg('### [' || printf('%02d:%02d:%02d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60) || '] ' || CASE WHEN seg_idx % 5 = 4 THEN '未知说话人' ELSE speaker END || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY seg_idx) AS markdown FROM seg GROUP BY rec""")
 def _(spark, sf_dir):
-    return rendering.markdown(segments(spark, sf_dir))
+    s = segments(spark, sf_dir).withColumn("speaker", F.when(F.col("seg_idx") % 5 != 4, F.col("speaker")))
+    tasks = s.select("rec").distinct().select("rec", F.concat(F.lit("task_"), "rec").alias("task_id"), F.concat(F.lit("/audio/"), "rec", F.lit(".wav")).alias("audio_path"))
+    return rendering.markdown(s, tasks)
 
 
 _CLOCK = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
 
 
-@query("render_srt", f"""{_S}, t AS (SELECT rec, seg_idx, speaker, text, CASE WHEN seg_idx % 4 = 3 THEN seg_idx * 5000 ELSE start_ms END AS s, CASE WHEN seg_idx % 4 = 3 THEN seg_idx * 5000 + 5000 ELSE end_ms END AS e FROM seg)
-SELECT rec, string_agg((seg_idx + 1) || chr(10) || {_CLOCK.format('s')} || ' --> ' || {_CLOCK.format('e')} || chr(10) || speaker || ': ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY seg_idx) || chr(10) AS subtitles FROM t GROUP BY rec""")
+@query("render_srt", f"""{_S}, t AS (SELECT rec, seg_idx, speaker, text, CASE WHEN seg_idx % 4 = 3 THEN seg_idx * 5000 ELSE start_ms END AS s, CASE WHEN seg_idx % 4 = 3 OR seg_idx % 4 = 1 THEN seg_idx * 5000 + 5000 ELSE end_ms END AS e FROM seg)
+SELECT rec, string_agg((seg_idx + 1) || chr(10) || {_CLOCK.format('s')} || ' --> ' || {_CLOCK.format('e')} || chr(10) || CASE WHEN seg_idx % 5 = 4 THEN '未知说话人' ELSE speaker END || '：' || coalesce(text, '') || chr(10), chr(10) ORDER BY seg_idx) AS subtitles FROM t GROUP BY rec""")
 def _(spark, sf_dir):
     timed = F.col("seg_idx") % 4 != 3
-    return rendering.subtitles(segments(spark, sf_dir).withColumns({"start_ms": F.when(timed, F.col("start_ms")), "end_ms": F.when(timed, F.col("end_ms"))}))
+    end = F.when(F.col("seg_idx") % 4 == 1, F.col("start_ms")).when(timed, F.col("end_ms"))
+    return rendering.subtitles(segments(spark, sf_dir).withColumns({"start_ms": F.when(timed, F.col("start_ms")), "end_ms": end, "speaker": F.when(F.col("seg_idx") % 5 != 4, F.col("speaker"))}))
 
 
 @query("read_page", f"{_S}, n AS (SELECT rec, seg_idx, id, row_number() OVER (PARTITION BY rec ORDER BY seg_idx) - 1 AS k, count(*) OVER (PARTITION BY rec) AS total FROM seg) SELECT rec, seg_idx, id, total, total > 4 AS has_more FROM n WHERE k BETWEEN 1 AND 3")
@@ -150,9 +153,18 @@ def _(spark, sf_dir):
     return reads.page(segments(spark, sf_dir), 1, 3).select("rec", "seg_idx", "id", "total", "has_more")
 
 
-@query("search_transcript", f"{_S}, h AS (SELECT rec, seg_idx, row_number() OVER (PARTITION BY rec ORDER BY seg_idx) AS k FROM seg WHERE contains(lower(coalesce(text, '')), 'the') OR speaker = 'system'), l AS (SELECT * FROM h WHERE k <= 2) SELECT rec, seg_idx, count(*) OVER (PARTITION BY rec) AS n_matches FROM l")
+@query("search_transcript", f"""{_S}, i AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY seg_idx) - 1 AS "index" FROM seg), h AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY seg_idx) AS k FROM i WHERE contains(lower(coalesce(text, '')), 'the') OR speaker = 'system'), l AS (SELECT * FROM h WHERE k <= 2) SELECT rec, seg_idx, "index", count(*) OVER (PARTITION BY rec) AS n_matches FROM l""")
 def _(spark, sf_dir):
-    return reads.search(segments(spark, sf_dir), " The", "system", 2).select("rec", "seg_idx", "n_matches")
+    s = segments(spark, sf_dir).withColumn("person_id", F.concat(F.lit("person_"), "speaker"))
+    return reads.search(s, " The", "person_system", 2).select("rec", "seg_idx", "index", "n_matches")
+
+
+@query("read_transcripts", f"""{_S}, {{_REQ}}, n AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY seg_idx) - 1 AS k, rec IN (SELECT rec FROM req) AS asked FROM seg), c AS (SELECT *, CASE WHEN asked THEN (rec, id) IN (SELECT (rec, id) FROM req) ELSE k BETWEEN 1 AND 3 END AS hit FROM n),
+g AS (SELECT rec, count(*) AS total_segments, count(*) FILTER (WHERE hit) AS returned_segments, bool_or(asked) AS asked, string_agg(text, chr(10) ORDER BY seg_idx) FILTER (WHERE hit AND text <> '') AS lines FROM c GROUP BY rec)
+SELECT rec, CASE WHEN returned_segments = total_segments THEN 'whole' ELSE coalesce(lines, '') END AS text, CASE WHEN returned_segments = total_segments THEN 'full' ELSE 'selected_segments' END AS text_scope, total_segments, 1 AS "offset", returned_segments, NOT asked AND 1 + returned_segments < total_segments AS has_more FROM g""".replace("{_REQ}", "req AS (SELECT conv_id AS rec, printf('seg_%04d', turn * 2 + 1) AS id FROM conversations WHERE conv_id % 3 <> 0 AND turn < 3)"))
+def _(spark, sf_dir):
+    s = segments(spark, sf_dir)
+    return reads.transcripts(s.select("rec", F.lit("whole").alias("text")).distinct(), s, _requests(spark, sf_dir), 1, 3, include_text=True)
 
 
 _REQ = "req AS (SELECT conv_id AS rec, printf('seg_%04d', turn * 2 + 1) AS id FROM conversations WHERE conv_id % 3 <> 0 AND turn < 3)"
@@ -178,11 +190,12 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", manifests.url_allowed(F.col("url"), hosts).alias("allowed"), manifests.url_redacted(F.col("url")).alias("redacted"))
 
 
-@query("task_status", f"{_S} SELECT rec::VARCHAR AS task_id, CASE WHEN rec % 2 = 0 THEN 'completed' ELSE 'running' END AS status, CASE WHEN rec % 2 = 0 THEN 100 ELSE 0 END AS percent, substr(string_agg(coalesce(text, ''), ' ' ORDER BY seg_idx), 1, 1200) AS preview, length(string_agg(coalesce(text, ''), ' ' ORDER BY seg_idx)) AS n_chars, count(*) AS n_segments FROM seg GROUP BY rec")
+@query("task_status", f"{_S} SELECT rec::VARCHAR AS task_id, CASE WHEN rec % 2 = 0 THEN 'completed' ELSE 'running' END AS status, status AS stage, true AS partial_available, 0 AS n_warnings, true AS no_audio, CASE WHEN rec % 2 = 0 THEN 100 ELSE 0 END AS percent, substr(string_agg(coalesce(text, ''), ' ' ORDER BY seg_idx), 1, 1200) AS preview, length(string_agg(coalesce(text, ''), ' ' ORDER BY seg_idx)) AS n_chars, count(*) AS n_segments FROM seg GROUP BY rec")
 def _(spark, sf_dir):
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), " ")
     t = segments(spark, sf_dir).groupBy(F.col("rec").cast("string").alias("task_id")).agg(joined.alias("text"), F.count("*").alias("n_segments"))
-    return reads.task_status(t.withColumns({"status": F.when(F.col("task_id").cast("long") % 2 == 0, F.lit("completed")).otherwise(F.lit("running")), "percent": F.lit(None).cast("int")}))
+    out = reads.task_status(t.withColumns({"status": F.when(F.col("task_id").cast("long") % 2 == 0, F.lit("completed")).otherwise(F.lit("running")), "percent": F.lit(None).cast("int")}))
+    return out.select("task_id", "status", "stage", "percent", "preview", "n_chars", "n_segments", "partial_available", F.size("warnings").alias("n_warnings"), F.col("audio").isNull().alias("no_audio"))
 
 
 @query("asr_mock")

@@ -23,7 +23,7 @@ def parse_asr_lines(raw: DataFrame) -> DataFrame:
     Timed lines give segments; if there are none, all other lines that are no log
     give one text without times.
     """
-    line = F.trim("line")
+    line = F.regexp_replace("line", r"^(?U)\s+|(?U)\s+$", "")
     each = raw.select("rec", F.posexplode(F.split("raw", r"\r?\n")).alias("pos", "line")).select("rec", "pos", line.alias("line"))
     timed = each.filter(F.col("line").rlike(TIMED_LINE)).select("rec", "pos", *(F.regexp_extract("line", TIMED_LINE, k).alias(n) for k, n in ((1, "start"), (2, "end"), (3, "text"))))
     timed = timed.select("rec", "pos", F.col("start").try_cast("double").alias("start"), F.col("end").try_cast("double").alias("end"), clean_text(F.col("text")).alias("text")).filter("text <> ''")
@@ -35,15 +35,20 @@ def parse_asr_lines(raw: DataFrame) -> DataFrame:
     return both.withColumn("id", F.format_string("seg_%04d", F.col("seg_idx") + 1))
 
 
+def _finite(number):
+    return F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+
+
 def parse_asr_json(raw: DataFrame) -> DataFrame:
-    """rec, seg_idx, id, start, end, text from rec and raw: a JSON array of segments, or an object that has one.
+    """rec, seg_idx, id, start, end, text, speaker and confidence from rec and raw: a JSON array of segments, or an object that has one.
 
-    Numbers that aren't finite become null; blank texts go before ids are given.
+    Texts are trimmed, tags stay; blank ones go before ids are given. A missing
+    speaker is unknown; numbers that aren't finite become null.
     """
-    one = "struct<start:double,end:double,text:string>"
+    one = "struct<start:double,end:double,text:string,speaker:string,confidence:double>"
     listed = F.ltrim("raw").startswith("[")  # an object would be read as an array of one
     parsed = F.when(listed, F.from_json("raw", f"array<{one}>")).otherwise(F.from_json("raw", f"struct<segments:array<{one}>>")["segments"])
-    each = raw.select("rec", F.posexplode(parsed).alias("pos", "s")).select("rec", "pos", "s.start", "s.end", clean_text(F.col("s.text")).alias("text")).filter("text <> ''")
+    each = raw.select("rec", F.posexplode(parsed).alias("pos", "s")).select("rec", "pos", *(_finite(F.col(f"s.{c}")).alias(c) for c in ("start", "end", "confidence")), F.regexp_replace("s.text", r"^(?U)\s+|(?U)\s+$", "").alias("text"), F.coalesce(F.nullif("s.speaker", F.lit("")), F.lit("unknown")).alias("speaker")).filter("text <> ''")
     number = F.row_number().over(Window.partitionBy("rec").orderBy("pos"))
     return each.withColumn("seg_idx", number - 1).withColumn("id", F.format_string("seg_%04d", F.col("seg_idx") + 1)).drop("pos")
 
@@ -116,9 +121,16 @@ def read_wav_info(spark: SparkSession, path: str) -> DataFrame:
     return wav_info(spark.read.format("binaryFile").load(path))
 
 
-def read_json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Whole-file JSON documents; what can't be parsed has its text in _corrupt_record."""
-    return spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+def read_json_documents(spark: SparkSession, path: str, schema: str, fallback: list | None = None) -> DataFrame:
+    """Whole-file JSON documents; one that can't be parsed raises an error when it is read.
+
+    With a fallback, a path that doesn't exist gives these rows instead.
+    """
+    if fallback is not None:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at):
+            return spark.createDataFrame(fallback, schema)
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
 def file_identity(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

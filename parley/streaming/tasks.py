@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: The order in which a task's states may follow each other; a later state is never taken back.
-RANK = {"queued": 0, "running": 1, "interrupted": 2, "failed": 3, "completed": 4}
 REQUEST = "jsonrpc string, id string, method string, params map<string,string>"
 
 
