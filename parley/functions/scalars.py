@@ -57,6 +57,12 @@ def person_id(name: Column) -> Column:
     return F.concat(F.lit("person_"), F.when(slug == "", F.substring(F.sha2(name.cast("binary"), 256), 1, 16)).otherwise(F.substring(slug, 1, 128)))
 
 
+def random_id(kind: str) -> Column:
+    """A new identifier of the kind (task or learning) for each row, from 16 or 8 random bytes; not the same when a row is computed again."""
+    size, prefix = {"task": (32, "task_"), "learning": (16, "learn_")}[kind]
+    return F.concat(F.lit(prefix), F.substring(F.sha2(F.uuid().cast("binary"), 256), 1, size))
+
+
 def progress(done: Column, total: Column) -> Column:
     """Percent of a run while its chunks are worked on."""
     return (38 + F.floor(done / F.greatest(total, F.lit(1)) * 28)).cast("long")

@@ -142,3 +142,21 @@ def counters(windows: DataFrame, o: TimelineOptions = DEFAULT) -> DataFrame:
     spans = s["bridged"].groupBy("rec").agg(F.count_if(F.col("stability") == "transient").alias("raw_transient"), *(F.count_if(F.col("fate") == x).alias(x) for x in ("noise", "bridged", "suppressed")))
     shown = vote(s["inherited"]).groupBy("rec").agg(F.count_if("mixed").alias("shown_mixed"))
     return raw.groupBy("rec").agg(F.count_if(mixed).alias("raw_mixed")).join(spans, "rec").join(shown, "rec")
+
+
+def rolled_up(scored: DataFrame, clusters: DataFrame, windows: DataFrame, n_batches: DataFrame | None = None, o: TimelineOptions = DEFAULT) -> DataFrame:
+    """All 17 counters of an analysis, per recording.
+
+    scored are the points with label, clusters their summaries (trusted, exceeded),
+    windows the labelled windows, n_batches (rec, n_batches) what the vectors took.
+    Clusters beyond the ceiling are never merged by force.
+    """
+    points = scored.groupBy("rec").agg(F.count("*").alias("windows"), F.count_if(F.col("label") >= 0).alias("valid_windows"), F.count_if(F.col("label") < 0).alias("noise_windows"))
+    found = clusters.groupBy("rec").agg(F.count("*").alias("clusters"), F.bool_or("exceeded").alias("exceeded"), F.count_if(~F.col("trusted")).alias("transient_clusters"), F.count_if("trusted").alias("trusted_speakers"))
+    out = points.join(found, "rec", "left").join(counters(windows, o), "rec", "left")
+    out = out.join(n_batches.select("rec", "n_batches"), "rec", "left") if n_batches is not None else out.withColumn("n_batches", F.lit(0).cast("long"))
+    numbers = ("clusters", "transient_clusters", "trusted_speakers", "raw_transient", "noise", "bridged", "suppressed", "raw_mixed", "shown_mixed", "n_batches")
+    return out.fillna(0, list(numbers)).fillna(False, ["exceeded"]).select(
+        "rec", "windows", "valid_windows", "noise_windows", "clusters", F.col("clusters").alias("post_threshold_clusters"), "exceeded", F.lit(0).cast("long").alias("forced_merges"), "transient_clusters", F.col("clusters").alias("private_candidates"), "trusted_speakers",
+        "raw_transient", F.col("noise").alias("micro_noise"), "bridged", "suppressed", "raw_mixed", "shown_mixed", "n_batches",
+    )

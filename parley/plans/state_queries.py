@@ -400,3 +400,68 @@ def _(spark, sf_dir):
     return M.first_valid(m)
 
 
+
+
+# One worker a lane, tasks that arrive faster than they end.
+@query("queue", """WITH q AS (SELECT o_custkey % 4 AS lane, o_orderkey AS task_id, o_orderkey * 7 % 5000 AS arr, 1 + o_orderkey % 5 AS duration FROM orders),
+s AS (SELECT *, sum(duration) OVER (PARTITION BY lane ORDER BY arr, task_id) AS upto FROM q)
+SELECT lane, task_id, cast(max(arr - upto + duration) OVER (PARTITION BY lane ORDER BY arr, task_id) + upto - duration AS BIGINT) AS started, cast(max(arr - upto + duration) OVER (PARTITION BY lane ORDER BY arr, task_id) + upto AS BIGINT) AS ended FROM s""")
+def _(spark, sf_dir):
+    k = F.col("o_orderkey")
+    q = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 4).alias("lane"), k.alias("task_id"), (k * 7 % 5000).alias("at"), (1 + k % 5).alias("duration"))
+    return T.queued(q).select("lane", "task_id", "started", "ended")
+
+
+_LP = """ev AS (SELECT user_id AS task_id, event_id AS seq, event_id * 13 % 4000 AS arr, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'queued' ELSE 'running' END AS status FROM events WHERE event_id % 40 < 6),
+po AS (SELECT event_id AS poll_id, user_id AS task_id, event_id * 29 % 4000 AS arr, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 90 WHEN 2 THEN -5 ELSE 20 END AS wait_s FROM events WHERE event_id % 3 = 0),
+w AS (SELECT *, arr + least(50, greatest(0, coalesce(wait_s, 45))) AS until FROM po),
+b AS (SELECT w.*, (SELECT status FROM ev WHERE ev.task_id = w.task_id AND ev.arr <= w.arr ORDER BY ev.arr DESC, seq DESC LIMIT 1) AS s0, (SELECT status FROM ev WHERE ev.task_id = w.task_id AND ev.arr <= w.until ORDER BY ev.arr DESC, seq DESC LIMIT 1) AS s1,
+ (SELECT {'a': ev.arr, 's': status} FROM ev WHERE ev.task_id = w.task_id AND ev.arr > w.arr AND ev.arr <= w.until AND status IN ('completed', 'failed') ORDER BY ev.arr, seq LIMIT 1) AS e FROM w)"""
+
+
+@query("long_polls", f"WITH {_LP} SELECT poll_id, CASE WHEN s0 IN ('completed', 'failed') THEN arr WHEN e IS NOT NULL THEN e.a ELSE until END AS answered_at, CASE WHEN s0 IN ('completed', 'failed') THEN s0 WHEN e IS NOT NULL THEN e.s ELSE s1 END AS status, coalesce(s0, '') NOT IN ('completed', 'failed') AND e IS NULL AS timed_out, CASE WHEN coalesce(s0, '') NOT IN ('completed', 'failed') AND e IS NULL THEN 500 END AS retry_ms FROM b")
+def _(spark, sf_dir):
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    kind = F.col("event_type")
+    status = F.when(kind == "purchase", "completed").when(kind == "error", "failed").when(kind == "signup", "queued").otherwise("running")
+    happened = e.filter(k % 40 < 6).select(F.col("user_id").alias("task_id"), k.alias("seq"), (k * 13 % 4000).alias("at"), status.alias("status"))
+    polls = e.filter(k % 3 == 0).select(k.alias("poll_id"), F.col("user_id").alias("task_id"), (k * 29 % 4000).alias("at"), F.when(k % 4 == 1, 90).when(k % 4 == 2, -5).when(k % 4 == 3, 20).alias("wait_s"))
+    return T.long_polls(polls, happened).select("poll_id", "answered_at", "status", "timed_out", "retry_ms")
+
+
+@query("task_options", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'auto' WHEN p_size % 3 = 1 THEN 'auto' ELSE 'de' END AS language, CASE WHEN p_size % 2 = 0 THEN 'markdown' ELSE 'srt' END AS output_format, p_size % 5 <> 1 AS speaker_profile FROM part")
+def _(spark, sf_dir):
+    n = F.col("p_size")
+    asked = table(spark, sf_dir, "part").select("p_partkey", F.when(n % 3 == 1, "").when(n % 3 == 2, "de").alias("language"), F.when(n % 2 == 1, "srt").alias("output_format"), F.when(n % 5 == 1, F.lit(False)).when(n % 5 == 2, F.lit(True)).alias("speaker_profile"))
+    return T.settled_options(asked)
+
+
+@query("cache_identity", """SELECT p_partkey, sha256('{"version":4,"source":{"audio_path":"/a/' || p_partkey || '.wav","size":' || p_size || ',"mtime_ms":' || p_partkey * 1000 || '},"asr":{"version":2,"language":"auto","model":"asr.gguf","chunk_seconds":"adaptive"},"speaker":{"enabled":' || CASE WHEN p_size % 2 = 0 THEN 'true,"version":5,"model":"voice.onnx","batch_size":64,"profiles_fingerprint":"' || p_brand || '"' ELSE 'false,"version":null,"model":null,"batch_size":null,"profiles_fingerprint":null' END || '},"render":{"output_format":"markdown"}}') AS cache_key FROM part""")
+def _(spark, sf_dir):
+    n = F.col("p_size")
+    tasks = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("/a/"), "p_partkey", F.lit(".wav")).alias("audio_path"), n.alias("size"), (F.col("p_partkey") * 1000).alias("modified_ms"), F.lit("auto").alias("language"), F.lit("markdown").alias("output_format"), (n % 2 == 0).alias("speaker_profile"), F.col("p_brand").alias("profiles_fingerprint"))
+    found = T.cache_identities(tasks, {"model": "asr.gguf", "chunk_seconds": "adaptive"}, {"model": "voice.onnx", "batch_size": 64}, {"pipeline": 4, "asr": 2, "speaker": 5})
+    return found.select("p_partkey", "cache_key")
+
+
+@query("runtime_identity", """WITH c AS (SELECT p_partkey % 50 AS s, p_partkey AS k, 'lib' || printf('%05d', p_partkey) AS n, sha256(p_name) AS h FROM part WHERE p_partkey % 4 = 0), g AS (SELECT s, string_agg('{"name":"' || n || '","sha256":"' || h || '"}', ',' ORDER BY n) AS j, count(*) AS n FROM c GROUP BY s)
+SELECT s_suppkey, coalesce(g.n, 0) AS n_companions, sha256('{"source":"env","name":"bin' || s_suppkey || '","sha256":"' || sha256(s_name) || '","companions":[' || coalesce(j, '') || ']}') AS runtime_key FROM supplier LEFT JOIN g ON g.s = s_suppkey""")
+def _(spark, sf_dir):
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    programs = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("bin"), "s_suppkey").alias("name"), F.lit("env").alias("source"), sha("s_name").alias("sha256"))
+    beside = table(spark, sf_dir, "part").filter("p_partkey % 4 = 0").select(F.concat(F.lit("bin"), F.col("p_partkey") % 50).alias("of"), F.format_string("lib%05d", "p_partkey").alias("name"), sha("p_name").alias("sha256"))
+    found = T.runtime_identities(programs.drop("s_suppkey"), beside)
+    return found.select(F.substring("name", 4, 20).cast("long").alias("s_suppkey"), F.size("companions").cast("long").alias("n_companions"), "runtime_key")
+
+
+@query("partial_results", f"{_S}, c AS (SELECT rec AS task_id, seg_idx AS k, trim(replace(text, chr(10), ' ')) AS t FROM seg WHERE (rec + seg_idx) % 3 <> 0) SELECT task_id, count(*) AS done, cast(count(*) * 300 AS BIGINT) AS covered_s, coalesce(string_agg(t, ' ' ORDER BY k) FILTER (WHERE t <> ''), '') AS text FROM c GROUP BY task_id")
+def _(spark, sf_dir):
+    s = segments(spark, sf_dir).filter("(rec + seg_idx) % 3 <> 0")
+    return T.partial_results(s.select(F.col("rec").alias("task_id"), (F.col("seg_idx") * 300).alias("offset_s"), F.lit(300).alias("chunk_s"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("text")))
+
+
+@query("response_lines", """SELECT CASE WHEN p_partkey % 3 = 0 THEN '{"jsonrpc":"2.0","id":"' || p_partkey || '","error":{"code":"bad","message":"x {\\"vector\\":\\"[redacted]\\"}"}}' ELSE '{"jsonrpc":"2.0","id":"' || p_partkey || '","result":{"size":' || p_size || '}}' END AS value FROM part""")
+def _(spark, sf_dir):
+    p, bad = table(spark, sf_dir, "part"), F.col("p_partkey") % 3 == 0
+    rows = p.select(F.col("p_partkey").cast("string").alias("id"), F.when(~bad, F.to_json(F.struct(F.col("p_size").alias("size")))).alias("result"), F.when(bad, "bad").alias("code"), F.when(bad, 'x {"vector":[1,2]}').alias("message"))
+    return T.response_lines(rows)

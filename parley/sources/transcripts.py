@@ -104,13 +104,19 @@ def _header(data: bytes) -> tuple:
     return nothing
 
 
-def wav_info(files: DataFrame) -> DataFrame:
-    """path and what the header of a binary file (path, content) says; usable: 16 kHz mono 16-bit PCM. Null where it is no WAV file."""
+def wav_info(files: DataFrame, strict: bool = False) -> DataFrame:
+    """path and what the header of a binary file (path, content) says; usable: 16 kHz mono 16-bit PCM. Null where it is no WAV file.
+
+    With strict, a file that isn't usable raises an error.
+    """
     names = ["channels", "sample_rate", "bits", "data_bytes", "seconds", "usable", "data_offset"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = pd.DataFrame([_header(bytes(h)) for h in batch["head"]], columns=names, dtype=object)
+            found = [_header(bytes(h)) for h in batch["head"]]
+            if strict and not all(x[5] for x in found):
+                raise ValueError("a 16 kHz mono 16-bit PCM WAV file is required")
+            rows = pd.DataFrame(found, columns=names, dtype=object)
             yield pd.concat([batch[["path"]].reset_index(drop=True), rows], axis=1)
 
     schema = "path string, channels long, sample_rate long, bits long, data_bytes long, seconds double, usable boolean, data_offset long"
