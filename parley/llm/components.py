@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from parley.llm.scratch import Scratch
 
+#: Rows of a file: a round's tables shrink, and are written in no more files than they need.
+FILE_ROWS = 250_000
 #: Rounds after which something must be wrong: enough for paths of 10^9 nodes.
 MOST_ROUNDS = 90
 
@@ -31,19 +33,20 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     live = scratch.save(live.filter("a <> b").distinct(), "edges")
     levels = []
     for turn in range(MOST_ROUNDS):
-        if live.isEmpty():
+        if not (rows := live.count()):
             break
+        save = lambda df, name: scratch.save(df.coalesce(1 + 2 * rows // FILE_ROWS), name)  # noqa: E731, B023
         both = live.union(live.select("b", "a"))
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("r"), F.col(c).alias("n"))  # noqa: E731, B023
         best = both.groupBy("a").agg(F.min(rank("b")).alias("best"))
-        near = scratch.save(best.select("a", F.least("best", rank("a")).alias("best")), "nearest")
+        near = save(best.select("a", F.least("best", rank("a")).alias("best")), "nearest")
         # The least rank within two steps: a hub's neighbours all point at one node.
         far = both.join(near.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("best").alias("best"))
-        point = scratch.save(far.select(F.col("a").alias("node"), F.col("best.n").alias("to")), "pointers")
+        point = save(far.select(F.col("a").alias("node"), F.col("best.n").alias("to")), "pointers")
         levels.append(point)
         half = live.join(point.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").select("x", "b").distinct()
         whole = half.join(point.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").filter("x <> y")
-        live = scratch.save(whole.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        live = save(whole.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
     else:
         raise RuntimeError("components did not converge")
     # From the last round back: where a node's pointer went on, follow it.
