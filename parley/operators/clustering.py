@@ -73,9 +73,10 @@ def micro_edges(points: DataFrame, o: ClusterOptions = DEFAULT) -> DataFrame:
     late = F.transform("before", lambda x: (F.col("start_ms") - x["end_ms"] > o.look_back_ms).cast("int"))
     stop = F.array_position(late, 1)
     reach = F.when(stop > 0, F.slice("before", F.lit(1), (stop - 1).cast("int"))).otherwise(F.col("before"))
-    pairs = each.select("rec", F.col("key").alias("b"), F.col("v").alias("vb"), F.explode(reach).alias("x"))
-    scored = pairs.select("rec", F.col("x.key").alias("a"), "b", clamped_cosine(F.col("x.v"), F.col("vb")).alias("score"))
-    return scored.filter(F.col("score") >= o.micro_threshold)
+    # Compared inside the list, so that only links become rows and no vector is copied.
+    scored = F.transform(reach, lambda x: F.struct(x["key"].alias("a"), clamped_cosine(x["v"], F.col("v")).alias("score")))
+    linked = each.select("rec", F.col("key").alias("b"), F.explode(F.filter(scored, lambda x: x["score"] >= o.micro_threshold)).alias("x"))
+    return linked.select("rec", "x.a", "b", "x.score")
 
 
 def micro_clusters(points: DataFrame, o: ClusterOptions = DEFAULT) -> DataFrame:

@@ -10,27 +10,35 @@ from parley.functions.vectors import as_text, cosine, unit, valid
 
 #: Least score of a match and least lead over the runner-up.
 THRESHOLD, MARGIN = 0.62, 0.05
-#: Profiles that go to every task (64 numbers each make 5 MB); more are compared in shuffled blocks.
+#: Profiles that go to every task (64 numbers each make 5 MB); more are compared in shuffled blocks of about as many.
 BROADCAST_PROFILES = 10_000
-BLOCKS = 64
+#: Parts into which rows are dealt for each block.
+PARTS = 32
 
 
 def match_profiles(rows: DataFrame, keys: list[str], profiles: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
     """keys, person_id, name and score of each row's nearest profile, if near enough and clearly nearest.
 
-    Every row is a query against all profiles, which are a counted, small table, or
-    come in blocks. Only the two best of each row leave a block.
+    Every row is a query against all profiles. These are a counted, small table that
+    every task gets, and rows don't move; or they come in blocks, and only the two best
+    of each row leave a block. keys name a row.
     """
     known = profiles.select("person_id", "name", F.col("prototype").alias("__q"))
-    if profiles.count() <= BROADCAST_PROFILES:
+    count = profiles.count()
+    if count <= BROADCAST_PROFILES:
         folded = F.broadcast(known.agg(F.collect_list(F.struct("person_id", "name", "__q")).alias("__all")))
         blocks = rows.join(folded)
     else:
-        folded = known.groupBy(F.pmod(F.xxhash64("person_id"), F.lit(BLOCKS)).alias("__block")).agg(F.collect_list(F.struct("person_id", "name", "__q")).alias("__all"))
-        blocks = rows.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).join(folded, "__block")
+        n = -(-count // BROADCAST_PROFILES)
+        folded = known.groupBy(F.pmod(F.xxhash64("person_id"), F.lit(n)).alias("__block")).agg(F.collect_list(F.struct("person_id", "name", "__q")).alias("__all"))
+        folded = folded.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).withColumn("__part", F.col("__part").cast("long"))
+        dealt = rows.withColumn("__part", F.pmod(F.xxhash64(*keys), F.lit(PARTS)))
+        blocks = dealt.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("__block", F.col("__block").cast("long")).join(folded, ["__block", "__part"])
     scores = F.transform("__all", lambda p: F.struct((-cosine(F.col("prototype"), p["__q"])).alias("s"), p["person_id"].alias("person_id"), p["name"].alias("name")))
     top = F.slice(F.array_sort(F.filter(scores, lambda x: x["s"].isNotNull())), 1, 2)
-    best = blocks.select(*keys, top.alias("top")).groupBy(*keys).agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, 2).alias("top"))
+    best = blocks.select(*keys, top.alias("top"))
+    if count > BROADCAST_PROFILES:
+        best = best.groupBy(*keys).agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, 2).alias("top"))
     first, second = F.try_element_at("top", F.lit(1)), F.try_element_at("top", F.lit(2))
     ok = (-first["s"] >= threshold) & (second["s"].isNull() | (second["s"] - first["s"] >= margin))
     return best.filter(ok).select(*keys, first["person_id"].alias("person_id"), first["name"].alias("name"), (-first["s"]).alias("score"))

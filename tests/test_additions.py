@@ -245,3 +245,14 @@ def test_streams(spark, tmp_path):
     counts = []
     S.run_available(S.activity(stream.withColumnRenamed("at", "ts")), lambda df, _: counts.extend((r["event_type"], r["n"]) for r in df.collect()), str(tmp_path / "c2"), "append")
     assert ("view", 2) in counts
+
+
+def test_matching_in_blocks(spark, monkeypatch):
+    from parley.operators import matching
+
+    r = np.random.default_rng(3)
+    people = spark.createDataFrame([(f"person_{i:02d}", f"n{i}", r.normal(size=8).tolist()) for i in range(40)], "person_id string, name string, prototype array<double>")
+    rows = spark.createDataFrame([(i, r.normal(size=8).tolist()) for i in range(200)], "k long, prototype array<double>")
+    whole = sorted(map(tuple, matching.match_profiles(rows, ["k"], people).collect()))
+    monkeypatch.setattr(matching, "BROADCAST_PROFILES", 7)
+    assert sorted(map(tuple, matching.match_profiles(rows, ["k"], people).collect())) == whole and len(whole) > 20
