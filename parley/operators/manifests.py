@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Host endings that downloads may come from.
 ALLOWED_HOSTS = ("github.com", "raw.githubusercontent.com", "githubusercontent.com", "huggingface.co", "hf.co", "huggingfaceusercontent.com", "modelscope.cn", "modelscope.com")
@@ -49,6 +50,17 @@ def merged(manifests: DataFrame) -> DataFrame:
     return per.join(F.broadcast(first)).select("platform", "version", "n_files", conflict.alias("conflict"))
 
 
+def listed(files: DataFrame, base_url: str, optional: tuple[str, ...] = ()) -> DataFrame:
+    """A manifest's entries in order of names: name, url, sha256, size and required, from files (name, sha256, size).
+
+    A name that isn't portable, or is listed twice, raises an error.
+    """
+    twice = F.count("*").over(Window.partitionBy("name")) > 1
+    checked = files.withColumn("name", F.when(~portable_name(F.col("name")) | twice, F.raise_error(F.concat(F.lit("bad name in manifest: "), "name"))).otherwise(F.col("name")))
+    url = F.concat(F.lit(base_url.rstrip("/") + "/"), F.call_function("url_encode", "name"))
+    return checked.select("name", url.alias("url"), F.lower("sha256").alias("sha256"), "size", (~F.col("name").isin(*optional) if optional else F.lit(True)).alias("required")).orderBy("name")
+
+
 def first_valid(mirrors: DataFrame) -> DataFrame:
     """name and ordinal of the first mirror whose size and checksum are right; null where none is."""
     good = F.coalesce((F.col("got_size") == F.col("size")) & (F.lower("got_sha256") == F.lower("sha256")), F.lit(False))

@@ -120,6 +120,23 @@ def projected_segments(segments: DataFrame, allowed: DataFrame) -> DataFrame:
         F.when(~F.col("__mixed"), F.col("__one")).alias("cluster"), F.col("__mixed").alias("mixed"), F.col("__spans").alias("spans"))
 
 
+def finalized(segments: DataFrame, clusters: DataFrame, counts: DataFrame | None = None, quality: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The segments, clusters and quality that may be shown of an analysis.
+
+    clusters are settled first; quality (rec, state, codes, trusted, coverage,
+    unknown_ratio, mixed_ratio) is derived where it isn't given; it is reconciled with
+    what it lets be shown, and then decides what is shown. Of an unusable analysis the
+    coverage is 0.
+    """
+    known = normalized_clusters(clusters, lenient=True)
+    first = derived_quality(segments, known, counts) if quality is None else quality
+    count = lambda df, name: df.groupBy("rec").agg(F.count("*").alias(name))
+    rows = first.join(count(known, "sources"), "rec", "left").join(count(allowed_clusters(known, first), "shown"), "rec", "left").fillna(0, ["sources", "shown"])
+    settled = reconciled_quality(rows).drop("sources", "shown").withColumn("coverage", F.when(F.col("state") == "unusable", F.lit(0.0)).otherwise(F.col("coverage")))
+    shown = allowed_clusters(known, settled)
+    return projected_segments(segments, shown), shown, settled
+
+
 def redacted(rows: DataFrame) -> DataFrame:
     """rows without private fields, at any depth of structs and arrays of structs."""
     from pyspark.sql import types as T

@@ -123,13 +123,32 @@ def _(spark, sf_dir):
     return _reconciled(spark, sf_dir).select("rec", "state", F.array_join("codes", ",").alias("codes"), "coverage")
 
 
-@query("finalize_analysis", f"""WITH {_CL}, {_SG}, {_QD}, {_QR}, fs AS (SELECT rec, CASE WHEN wrong THEN 'unusable' ELSE state END AS state FROM qr),
-fo AS (SELECT norm.rec, cluster_id FROM norm JOIN fs USING (rec) WHERE trusted AND cluster_id IS NOT NULL AND fs.state <> 'unusable' AND (fs.state <> 'degraded' OR strong)), fl AS (SELECT rec, list(cluster_id) AS ok FROM fo GROUP BY rec)
+_FIN = f"""{_CL}, {_SG}, {_QD}, sh AS (SELECT rec, count(*) AS p FROM norm JOIN qd USING (rec) WHERE norm.trusted AND cluster_id IS NOT NULL AND qd.state <> 'unusable' AND (qd.state <> 'degraded' OR strong) GROUP BY rec),
+fs AS (SELECT qd.rec, CASE WHEN state = 'reliable' AND coalesce(s, 0) > 0 AND coalesce(p, 0) = 0 THEN 'unusable' ELSE state END AS state, coverage FROM qd LEFT JOIN (SELECT rec, count(*) AS s FROM norm GROUP BY rec) USING (rec) LEFT JOIN sh USING (rec)),
+fo AS (SELECT norm.rec, idx, cluster_id FROM norm JOIN fs USING (rec) WHERE trusted AND cluster_id IS NOT NULL AND fs.state <> 'unusable' AND (fs.state <> 'degraded' OR strong)), fl AS (SELECT rec, list(cluster_id) AS ok FROM fo GROUP BY rec)"""
+
+
+def _finalized(spark, sf_dir):
+    k = clusters(spark, sf_dir)
+    exceeded = Q.normalized_clusters(k, lenient=True).select("rec").distinct().withColumn("exceeded", F.col("rec") % 5 == 0)
+    return Q.finalized(diarized(spark, sf_dir), k, exceeded)
+
+
+@query("finalize_analysis", f"""WITH {_FIN}
 SELECT sg.rec, seg_idx, CASE WHEN coalesce(mixed, false) OR speaker = 'mixed' THEN 'mixed' WHEN list_contains(coalesce(ok, []::VARCHAR[]), speaker) THEN speaker WHEN list_contains(coalesce(ok, []::VARCHAR[]), cluster) THEN cluster ELSE 'unknown' END AS speaker, state FROM sg LEFT JOIN fs USING (rec) LEFT JOIN fl USING (rec)""")
 def _(spark, sf_dir):
-    quality = _reconciled(spark, sf_dir).select("rec", "state")
-    shown = Q.allowed_clusters(Q.normalized_clusters(clusters(spark, sf_dir), lenient=True), quality)
-    return Q.projected_segments(diarized(spark, sf_dir), shown).join(quality, "rec", "left").select("rec", "seg_idx", "speaker", "state")
+    segments_, _shown, quality = _finalized(spark, sf_dir)
+    return segments_.join(quality.select("rec", "state"), "rec", "left").select("rec", "seg_idx", "speaker", "state")
+
+
+@query("finalized_clusters", f"WITH {_FIN} SELECT rec, idx, cluster_id FROM fo")
+def _(spark, sf_dir):
+    return _finalized(spark, sf_dir)[1].select("rec", "idx", "cluster_id")
+
+
+@query("finalized_quality", f"WITH {_FIN} SELECT rec, state, CASE WHEN state = 'unusable' THEN 0 ELSE coverage END AS coverage FROM fs")
+def _(spark, sf_dir):
+    return _finalized(spark, sf_dir)[2].select("rec", "state", "coverage")
 
 
 @query("apply_matches", f"WITH {_SG}, m AS (SELECT c_custkey // 4 AS rec, 'cluster_' || (c_custkey % 4) AS cluster, c_name AS name FROM customer WHERE c_custkey % 2 = 0) SELECT sg.rec, seg_idx, CASE WHEN NOT coalesce(mixed, false) AND name IS NOT NULL THEN name WHEN mixed THEN 'mixed' WHEN NOT coalesce(mixed, false) AND sg.cluster IS NOT NULL THEN sg.cluster ELSE 'unknown' END AS speaker, CASE WHEN NOT coalesce(mixed, false) AND name IS NOT NULL THEN 'known' WHEN mixed THEN 'mixed' WHEN NOT coalesce(mixed, false) AND sg.cluster IS NOT NULL THEN 'cluster' ELSE 'unknown' END AS kind FROM (SELECT rec, seg_idx, cluster, mixed FROM sg) sg LEFT JOIN m ON m.rec = sg.rec AND m.cluster = sg.cluster".replace(_SG, _SG.split(",\noks")[0]))

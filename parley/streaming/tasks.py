@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from parley.functions.scalars import progress
+from parley.operators.tasks import partial_results
+
 REQUEST = "jsonrpc string, id string, method string, params map<string,string>"
 
 
@@ -61,6 +64,26 @@ def chunk_counts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("task_id").agg(done.alias("done"), (38 + F.floor(done / F.greatest(F.max("total"), F.lit(1)) * 28)).alias("percent"))
 
 
+def partial_texts(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink for a stream of finished chunks (task_id, offset_s, chunk_s, text, total) that keeps each task's text so far.
+
+    Chunks are added to a table under path once a batch; a batch that is run again
+    replaces its own rows. ``partial_view`` reads them.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.select("task_id", "offset_s", "chunk_s", "text", "total").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return add
+
+
+def partial_view(spark: SparkSession, path: str) -> DataFrame:
+    """task_id, done, percent, covered_s and text of what ``partial_texts`` has written; a chunk that came twice counts once."""
+    rows = spark.read.parquet(path).dropDuplicates(["task_id", "offset_s"])
+    total = rows.groupBy("task_id").agg(F.max("total").alias("total"))
+    return partial_results(rows).join(total, "task_id").select("task_id", "done", progress(F.col("done"), F.col("total")).alias("percent"), "covered_s", "text")
+
+
 def activity(events: DataFrame, window: str = "1 hour", late: str = "30 minutes") -> DataFrame:
     """Events per window and type, for outputMode append; later events than the watermark are dropped by Spark."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)

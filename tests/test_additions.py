@@ -256,3 +256,20 @@ def test_matching_in_blocks(spark, monkeypatch):
     whole = sorted(map(tuple, matching.match_profiles(rows, ["k"], people).collect()))
     monkeypatch.setattr(matching, "BROADCAST_PROFILES", 7)
     assert sorted(map(tuple, matching.match_profiles(rows, ["k"], people).collect())) == whole and len(whole) > 20
+
+
+def test_partial_texts(spark, tmp_path):
+    kind = "task_id string, offset_s long, chunk_s long, text string, total long"
+    spark.createDataFrame([("t", 300, 300, "b", 4), ("t", 0, 300, "a ", 4), ("u", 0, 300, None, 1)], kind).coalesce(1).write.parquet(str(tmp_path / "s"))
+    out = str(tmp_path / "out")
+    S.run_available(spark.readStream.schema(kind).parquet(str(tmp_path / "s")), S.partial_texts(out), str(tmp_path / "c"), "append")
+    assert {r["task_id"]: (r["done"], r["percent"], r["covered_s"], r["text"]) for r in S.partial_view(spark, out).collect()} == {"t": (2, 52, 600, "a b"), "u": (1, 66, 300, "")}
+
+
+def test_manifest_listing(spark):
+    from parley.operators import manifests
+
+    files = spark.createDataFrame([("b c.bin", "AB", 2), ("a", "CD", 1)], "name string, sha256 string, size long")
+    assert [tuple(r) for r in manifests.listed(files, "https://x/y/", ("a",)).collect()] == [("a", "https://x/y/a", "cd", 1, False), ("b c.bin", "https://x/y/b+c.bin", "ab", 2, True)]
+    with pytest.raises(PySparkException):
+        manifests.listed(files.union(files), "https://x").collect()
