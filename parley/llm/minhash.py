@@ -291,7 +291,17 @@ def _neighbourhoods(classes: DataFrame, texts: DataFrame, near: DataFrame, part:
     meets = left.join(right, (F.col("l.place") == F.col("r.place")) & (F.col("l.tile") <= F.col("r.tile")) & ~F.coalesce(F.col("l.whole") == F.col("r.whole"), F.lit(False)))
     meets = scratch.save(meets.select(F.xxhash64("l.place", "l.tile", "r.tile").alias("meet"), F.col("l.place").alias("place"), F.array_distinct(F.array("l.tile", "r.tile")).alias("sides")), "meets")
     sides = meets.select("meet", "place", F.posexplode("sides").alias("side", "tile"))
-    rows = dealt.join(sides, ["place", "tile"]).join(classes.select("id", "sig"), "id").join(texts, "id").select("meet", "side", "id", "part", "sig", "text")
+    signed = dealt.join(sides, ["place", "tile"]).join(classes.select("id", "sig"), "id").select("meet", "side", "id", "part", "sig")
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            keep = _hopeful(group)
+            if keep.any():
+                yield from group.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    # Signatures meet first: texts travel only for classes that agree with one of another component there.
+    left = scratch.save(signed.repartition("meet").sortWithinPartitions("meet").mapInArrow(screen, signed.schema), "hopeful")
+    rows = left.join(texts, "id").select("meet", "side", "id", "part", "sig", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
@@ -320,10 +330,28 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _signatures(group: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(group.column(4).to_pylist()), dtype="<u4").reshape(-1, COORDINATES)
+
+
+def _hopeful(group: pa.Table) -> np.ndarray:
+    """Which rows of a tile, or of two, agree in MATCHES places with one of another component that they meet."""
+    side, part, sig = group.column(1).to_numpy(), group.column(3).to_numpy(), _signatures(group)
+    out = np.zeros(len(side), dtype=bool)
+    two = side.max() > 0
+    for i in np.flatnonzero(side == 0).tolist():
+        others = np.flatnonzero((part != part[i]) & ((side == 1) if two else (np.arange(len(side)) > i)))
+        near = others[(sig[others] == sig[i]).sum(axis=1) >= MATCHES]
+        if len(near):
+            out[i] = True
+            out[near] = True
+    return out
+
+
 def _confirm(group: pa.Table, shingles: Shingler) -> tuple[list[int], list[int]]:
     """A forest of the links between different components in a tile, or across two."""
     side, ids, part = (group.column(k).to_numpy() for k in (1, 2, 3))
-    sig = np.frombuffer(b"".join(group.column(4).to_pylist()), dtype="<u4").reshape(-1, COORDINATES)
+    sig = _signatures(group)
     texts, sets = group.column(5), {}
     names, root = np.unique(part, return_inverse=True)
     two = side.max() > 0
