@@ -29,6 +29,8 @@ from parley.llm.samples import labelled
 PASSAGE = 64
 #: Most labelled documents of each class that the network is fitted on.
 PER_CLASS = 2000
+#: Most passages of a document that it is fitted on, evenly spread over the text; all are scored.
+FIT_PASSAGES = 256
 HIDDEN, GATE, EPOCHS, SEED = 16, 8, 300, 11
 MEASURES = 12
 
@@ -66,6 +68,11 @@ def passages(text: str | None) -> list[list[float]]:
     return [encode(words[k : k + PASSAGE]) for k in range(0, max(1, len(words)), PASSAGE)]
 
 
+def spread(bag: list[list[float]], most: int = FIT_PASSAGES) -> list[list[float]]:
+    """At most so many passages of a document, from its beginning to its end."""
+    return bag if len(bag) <= most else [bag[k * (len(bag) - 1) // (most - 1)] for k in range(most)]
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -128,12 +135,12 @@ _BAG = T.ArrayType(T.ArrayType(T.DoubleType()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, column: str = "quality", per_class: int = PER_CLASS) -> Network:
-    """Train on at most per_class labelled documents of each class; only their measures come to the driver."""
+    """Train on at most per_class labelled documents of each class; only the measures of at most FIT_PASSAGES passages of each come to the driver."""
     sample = labelled(docs, labels, column, allowed, per_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [passages(t) for t in batch.column(1).to_pylist()]
+            bags = [spread(passages(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bags, pa.list_(pa.list_(pa.float64())))], ["doc_id", "label", "bag"])
 
     schema = T.StructType([sample.schema["doc_id"], sample.schema["label"], T.StructField("bag", _BAG)])

@@ -69,7 +69,7 @@ def active_entries(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """The columns of captures (which has url and fetched_at) with matches: the (kind, pattern, category) in force at fetch time, sorted."""
     folded = intervals(entries).groupBy("kind", "pattern").agg(F.collect_list(F.struct("category", "from", "until")).alias("__spans"))
     # Written first: read twice, captures out of a shuffle could be numbered anew.
-    keyed = Scratch(captures.sparkSession).save(captures.withColumn("__row", F.monotonically_increasing_id()), "captures")
+    keyed = Scratch(captures.sparkSession).save(captures.drop("matches").withColumn("__row", F.monotonically_increasing_id()), "captures")
     keys = keyed.select("__row", F.col("fetched_at").alias("__at"), F.explode(keys_of(F.col("url"))).alias("k")).select("__row", "__at", "k.*")
     live = F.filter("__spans", lambda s: (s["from"] <= F.col("__at")) & (s["until"].isNull() | (F.col("__at") < s["until"])))
     hits = keys.join(folded, ["kind", "pattern"]).select("__row", "kind", "pattern", F.explode(live).alias("s")).groupBy("__row").agg(F.array_sort(F.collect_set(F.struct("kind", "pattern", F.col("s.category").alias("category")))).alias("matches"))

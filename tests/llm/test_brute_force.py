@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import BASE, ROWS, SCHEMA, WORDS, prose
 
-from parley.llm import decontam, linededup, minhash, packing, quality, secrets, sharding, toxicity
+from parley.llm import decontam, linededup, minhash, packing, quality, secrets, sharding, toxicity, urlfilter
 from parley.llm.scratch import Scratch, shared_dir
 
 SF, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
@@ -270,3 +270,42 @@ def test_no_local_folder_on_a_cluster(spark):
     scratch = Scratch(spark)
     assert scratch.save(spark.range(3), "x").count() == 3
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == before
+
+
+def test_passages_to_fit_on():
+    bag = [[float(k)] for k in range(1000)]
+    some = quality.spread(bag, 10)
+    assert len(some) == 10 and some[0] == [0.0] and some[-1] == [999.0] and quality.spread(bag[:10], 10) == bag[:10]
+
+
+def test_lines_on_odd_rows(spark):
+    line, digits = "the quick brown fox jumps over the lazy dog again and again", "".join(map(str, range(40_000)))
+    rows = [(1, f"{line}\r\nother words of a first text here"), (1, f"\u3000{line}\t\nyet other words, of a second one"), (2, line), (None, f"{line}\nsomething only the nameless one says"), (3, digits), (4, digits[:-10] + "y" * 10), (6, "x" * 200_000), (7, "x" * 199_990 + "y" * 10), (5, "\n" * 5000)]
+    table = spark.createDataFrame([(*r, 7, "n") for r in rows], "doc_id long, text string, n_lines int, h string")
+    out = linededup.dedup_lines(table).collect()
+    assert len(out) == len(rows) and {r["h"] for r in out} == {"n"}
+    dropped = {(r["doc_id"], r["n_lines"]): r["n_dropped"] for r in out if r["doc_id"] not in (1, None)}
+    # Of a letter repeated there is one shingle, so ten others make another line.
+    assert dropped == {(2, 1): 1, (3, 1): 0, (4, 1): 1, (5, 5001): 0, (6, 1): 0, (7, 1): 0}
+    # A null id comes first of all; both texts of id 1 lose the line.
+    assert [r["n_dropped"] for r in out if r["doc_id"] is None] == [0] and sorted(r["n_dropped"] for r in out if r["doc_id"] == 1) == [1, 1]
+
+
+def test_url_filter_on_odd_rows(spark):
+    entries = spark.createDataFrame([("host", "a.org", None, "add", "2024-01-01"), ("host", None, "x", "add", "2024-01-01"), ("host", "a.org", "x", None, "2024-01-01"), ("host", "a.org", "x", "add", None), ("host", "a.org", "y", "add", "2024-01-01"), ("host", "a.org", "y", "add", "2024-01-01")], "kind string, pattern string, category string, action string, at string").withColumn("at", F.col("at").cast("date"))
+    seen = spark.createDataFrame([(1, "http://a.org/" + "p/" * 3000, "old"), (2, "http://a.org", "old"), (2, "http://a.org", "old"), (3, "", None), (4, "http:///x", None)], "k int, url string, matches string").withColumn("fetched_at", F.lit("2024-02-01").cast("date"))
+    out = urlfilter.active_entries(seen.repartition(3), entries).collect()
+    assert sorted((r["k"], [m["category"] for m in r["matches"]]) for r in out) == [(1, ["y"]), (2, ["y"]), (2, ["y"]), (3, []), (4, [])]
+    assert urlfilter.active_entries(seen.filter("false"), entries).count() == 0
+
+
+def test_very_long_texts(spark):
+    rows = spark.createDataFrame([(1, LONG * 4), (2, LONG * 4 + " ban"), (3, "z" * 1_000_000), (4, "é " * 300_000)], SCHEMA)
+    near = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(rows).collect()}
+    assert near == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert all(0 <= r["score"] <= 1 for r in toxicity.score(rows, toxicity.Lexicon({"ban": 2.0})).collect())
+    net = quality.train([quality.passages("a b c"), quality.passages("| | |")], np.array([1.0, 0.0]))
+    assert quality.score(rows, net).count() == 4
+    bench = spark.createDataFrame([(1, " ".join(LONG.split()[500:540]))], "item_id long, text string")
+    assert {r["doc_id"]: r["n_items"] for r in decontam.contamination(rows, bench).collect()} == {1: 1, 2: 1, 3: 0, 4: 0}
+    assert sharding.digests(rows).count() == secrets.digests(rows).count() == linededup.dedup_lines(rows).count() == 4
